@@ -23,14 +23,7 @@ URL_PATTERN = rf"www\.[^{WHITE_SPACE}]+|https?://[^{WHITE_SPACE}]+"
 USER_PATTERN = rf"@[^{WHITE_SPACE}]+"
 
 # Joined words a Treebank-style tokenizer takes apart.
-SPLIT_WORDS = {
-    "cannot": "can not",
-    "gimme": "gim me",
-    "gonna": "gon na",
-    "gotta": "got ta",
-    "lemme": "lem me",
-    "wanna": "wan na",
-}
+SPLIT_WORDS = ("can not", "gim me", "gon na", "got ta", "lem me", "wan na")
 
 # English stop words.
 STOP_WORDS = (
@@ -88,9 +81,9 @@ def clean_text(text: Column) -> Column:
 
 def word_tokens(cleaned: Column) -> Column:
     """Words of a cleaned text, joined words taken apart, duplicates kept."""
-    for joined, parts in SPLIT_WORDS.items():
-        cleaned = F.regexp_replace(cleaned, rf"\b{joined}\b", parts)
-    return F.filter(F.split(cleaned, " +"), lambda t: t != F.lit(""))
+    heads = [r"{}(?={}\b)".format(*words.split()) for words in SPLIT_WORDS]
+    apart = F.regexp_replace(cleaned, rf"\b({'|'.join(heads)})", "$1 ")
+    return F.filter(F.split(apart, " +"), lambda t: t != F.lit(""))
 
 
 def drop_stop_words(tokens: Column) -> Column:
