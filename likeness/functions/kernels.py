@@ -147,21 +147,3 @@ def sign_words_batch(vectors: pa.Array, planes: np.ndarray, rounds: int) -> pa.A
     longs = eight.view(">i8").astype(np.int64).reshape(len(bits), words)
     offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * np.int32(rounds))
     return pa.ListArray.from_arrays(offsets, as_lists(longs, pa.int64()))
-
-
-# -- word vectors ------------------------------------------------------------
-
-
-def vector_sum_batch(lists: pa.Array, dims: int) -> pa.Array:
-    """Element-wise sum of each row's list of vectors; zeros for an empty list."""
-    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = pc.list_flatten(pc.list_flatten(lists)).to_numpy(zero_copy_only=False)
-    if len(values) != counts.sum() * dims:
-        raise ValueError(f"every word vector must have {dims} values")
-    out = np.zeros((len(counts), dims))
-    filled = np.flatnonzero(counts)
-    if len(filled):
-        starts = (np.cumsum(counts) - counts)[filled]
-        matrix = values.reshape(-1, dims).astype(np.float64)
-        out[filled] = np.add.reduceat(matrix, starts, axis=0)
-    return as_lists(out, pa.float64())

@@ -59,19 +59,23 @@ def one_hop_clusters(
     ``edges`` must be distinct. A node has one row, part 0, unless ``large``
     (from large_nodes; broadcast, so its caller bounds it) names it: its
     members then go to as many parts of about ``part_members`` as it takes,
-    for no cell and no task can hold a neighbourhood of any size. ``size`` is
-    the size of the whole cluster in every part.
+    for no cell and no task can hold a neighbourhood of any size. Parts are
+    told apart by a hash of the member, so some may be missing; ``size`` is the
+    size of the whole cluster in every part.
     """
     if large is None:
         return _collect(edges.withColumnRenamed("src", "node"))
     small_edges = edges.join(
         F.broadcast(large.select(F.col("node").alias("src"))), "src", "left_anti"
     )
-    parts = F.ceil(F.col("neighbours") / F.lit(part_members)).cast("int")
-    in_parts = (
+    parts = F.ceil((F.col("neighbours") + 1) / F.lit(part_members)).cast("int")
+    with_itself = (
         edges.withColumnRenamed("src", "node")
         .join(F.broadcast(large), "node")
-        .withColumn("part", F.pmod(F.xxhash64("dst"), parts).cast("int"))
+        .unionByName(large.withColumn("dst", F.col("node")))
+    )
+    in_parts = (
+        with_itself.withColumn("part", F.pmod(F.xxhash64("dst"), parts).cast("int"))
         .groupBy("node", "part")
         .agg(
             F.first("neighbours").alias("neighbours"),
@@ -81,11 +85,7 @@ def one_hop_clusters(
             "node",
             (F.col("neighbours") + 1).alias("size"),
             "part",
-            member_text(
-                F.when(F.col("part") == 0, F.array_append("members", F.col("node"))).otherwise(
-                    F.col("members")
-                )
-            ).alias("members"),
+            member_text(F.col("members")).alias("members"),
         )
     )
     return _collect(small_edges.withColumnRenamed("src", "node")).unionByName(in_parts)
