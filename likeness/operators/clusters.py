@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.functions.text import sentence_id
+from likeness.operators.skew import lookup_join
 
 
 def star_edges(members: DataFrame) -> DataFrame:
@@ -51,56 +52,58 @@ def large_nodes(edges: DataFrame, max_neighbours: int) -> DataFrame:
     )
 
 
-def one_hop_clusters(
-    edges: DataFrame, large: DataFrame | None = None, part_members: int = 100_000
-) -> DataFrame:
+def one_hop_clusters(edges: DataFrame) -> DataFrame:
     """``(node, size, part, members)``: each node with its neighbours.
 
-    ``edges`` must be distinct. A node has one row, part 0, unless ``large``
-    (from large_nodes; broadcast, so its caller bounds it) names it: its
-    members then go to as many parts of about ``part_members`` as it takes,
-    for no cell and no task can hold a neighbourhood of any size. Parts are
-    told apart by a hash of the member, so some may be missing; ``size`` is the
-    size of the whole cluster in every part.
+    ``edges`` must be distinct. Every node has one row and part 0.
     """
-    if large is None:
-        return _collect(edges.withColumnRenamed("src", "node"))
-    small_edges = edges.join(
-        F.broadcast(large.select(F.col("node").alias("src"))), "src", "left_anti"
-    )
-    parts = F.ceil((F.col("neighbours") + 1) / F.lit(part_members)).cast("int")
-    with_itself = (
-        edges.withColumnRenamed("src", "node")
-        .join(F.broadcast(large), "node")
-        .unionByName(large.withColumn("dst", F.col("node")))
-    )
-    in_parts = (
-        with_itself.withColumn("part", F.pmod(F.xxhash64("dst"), parts).cast("int"))
-        .groupBy("node", "part")
-        .agg(
-            F.first("neighbours").alias("neighbours"),
-            F.collect_set("dst").alias("members"),
-        )
+    return (
+        edges.groupBy(F.col("src").alias("node"))
+        .agg(F.collect_set("dst").alias("members"))
         .select(
             "node",
-            (F.col("neighbours") + 1).alias("size"),
-            "part",
-            member_text(F.col("members")).alias("members"),
+            (F.size("members") + 1).cast("bigint").alias("size"),
+            F.lit(0).alias("part"),
+            member_text(F.array_append("members", F.col("node"))).alias("members"),
         )
     )
-    return _collect(small_edges.withColumnRenamed("src", "node")).unionByName(in_parts)
 
 
-def _collect(edges: DataFrame) -> DataFrame:
-    cluster = F.array_append("members", F.col("node"))
+def clusters_in_parts(
+    edges: DataFrame,
+    large: DataFrame,
+    part_members: int,
+    fits: bool = True,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """One-hop clusters where ``large`` nodes (from large_nodes) take many rows.
+
+    No cell and no task can hold a neighbourhood of any size, so the members of
+    a large node go to as many parts of about ``part_members`` as it takes, by
+    a hash of the member; a part that no member falls into has no row. ``size``
+    is the size of the whole cluster in every part. ``fits`` and ``hot`` are
+    those of lookup_join.
+    """
+    neighbour_rows = lookup_join(
+        edges.withColumnRenamed("src", "node"), large, "node", fits, hot
+    ).unionByName(large.withColumn("dst", F.col("node")))
+    parts = F.ceil((F.col("neighbours") + 1) / F.lit(part_members)).cast("bigint")
+    part = F.coalesce(F.pmod(F.xxhash64("dst"), parts).cast("int"), F.lit(0))
+    members = F.when(
+        F.col("neighbours").isNull(), F.array_append("members", F.col("node"))
+    ).otherwise(F.col("members"))
     return (
-        edges.groupBy("node")
-        .agg(F.collect_set("dst").alias("members"))
+        neighbour_rows.withColumn("part", part)
+        .groupBy("node", "part")
+        .agg(
+            F.first("neighbours").alias("neighbours"),
+            F.collect_set("dst").alias("members"),
+        )
         .select(
             "node",
-            F.size(cluster).cast("bigint").alias("size"),
-            F.lit(0).alias("part"),
-            member_text(cluster).alias("members"),
+            (F.coalesce("neighbours", F.size("members")) + 1).cast("bigint").alias("size"),
+            "part",
+            member_text(members).alias("members"),
         )
     )
 

@@ -52,3 +52,23 @@ def split_hot(
         routed.join(F.broadcast(hot), "route", "left_semi").drop("route"),
         routed.join(F.broadcast(hot), "route", "left_anti").drop("route"),
     )
+
+
+def lookup_join(
+    rows: DataFrame, table: DataFrame, key: str, fits: bool, hot: DataFrame | None = None
+) -> DataFrame:
+    """Left join with a table that has each key once.
+
+    ``fits`` says that the caller has checked the table to be small enough to
+    broadcast. A larger one is joined by a shuffle, but for the rows of the
+    ``hot`` keys: they stay in place and meet a broadcast of just those keys.
+    """
+    if fits:
+        return rows.join(F.broadcast(table), key, "left")
+    if hot is None:
+        return rows.join(table, key, "left")
+    hot_rows, other_rows = split_hot(rows, [key], hot)
+    hot_table, other_table = split_hot(table, [key], hot)
+    return hot_rows.join(F.broadcast(hot_table), key, "left").unionByName(
+        other_rows.join(other_table, key, "left")
+    )

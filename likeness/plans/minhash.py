@@ -8,7 +8,7 @@ from likeness.operators import buckets as B
 from likeness.operators import clusters as C
 from likeness.operators.minhash import signatures, with_minhash
 from likeness.operators.sentences import candidates
-from likeness.operators.skew import GROUP_ROWS, MAX_HOT_KEYS, hot_routes
+from likeness.operators.skew import GROUP_ROWS, hot_routes
 from likeness.params import MinHashParams
 from likeness.plans.staging import spread, stage
 
@@ -56,17 +56,23 @@ class BucketJob:
 
 
 def clusters(
-    edges: DataFrame, max_neighbours: int = 100_000, part_members: int = 100_000
+    edges: DataFrame,
+    max_neighbours: int = 100_000,
+    broadcast_nodes: int = 1_000_000,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """One-hop clusters of distinct edges; large neighbourhoods in parts.
+    """One-hop clusters of distinct edges, large neighbourhoods in parts.
 
-    The edges are written once and counted. At most total / limit nodes can
-    exceed a limit, which bounds the broadcast of the large ones to
-    ``MAX_HOT_KEYS`` rows; when there are fewer edges than the limit none can.
+    The edges are written once and counted: fewer than ``max_neighbours`` of
+    them make no large node. Otherwise the large nodes (at most total /
+    max_neighbours) are counted too, and broadcast up to ``broadcast_nodes``.
     """
     staged = stage(edges, "edges")
     total = staged.count()
-    limit = max(max_neighbours, total // MAX_HOT_KEYS)
-    if total <= limit:
+    if total <= max_neighbours:
         return C.one_hop_clusters(staged)
-    return C.one_hop_clusters(staged, C.large_nodes(staged, limit), part_members)
+    large = stage(C.large_nodes(staged, max_neighbours), "large_nodes")
+    if large.count() <= broadcast_nodes:
+        return C.clusters_in_parts(staged, large, max_neighbours)
+    hot = hot_routes(staged, ["src"], total, group_rows)
+    return C.clusters_in_parts(staged, large, max_neighbours, False, hot)

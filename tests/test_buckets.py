@@ -104,23 +104,21 @@ def test_bucket_shuffle_leaves_text_behind(documents):
     assert scan and all("sentence" not in line for line in scan)
 
 
-def test_clusters_of_job(documents):
-    job = BucketJob(documents)
-    edges = job.edges()
+@pytest.mark.parametrize(
+    "limits", [{}, {"broadcast_nodes": 0}, {"broadcast_nodes": 0, "group_rows": 30}]
+)
+def test_clusters_in_parts_hold_the_same_members(documents, limits):
+    edges = BucketJob(documents).edges()
     assert rows(edges) == rows(edges.select("dst", "src"))
-    whole = {(r["node"], r["members"]) for r in clusters(edges).collect()}
+    whole = {(r["node"], r["size"], r["members"]) for r in clusters(edges).collect()}
     parts = {}
-    for r in clusters(edges, max_neighbours=1, part_members=1).collect():
-        parts.setdefault(r["node"], []).append(r)
+    for r in clusters(edges, max_neighbours=1, **limits).collect():
+        parts.setdefault((r["node"], r["size"]), []).append(r)
     assert max(len(p) for p in parts.values()) > 1
-    joined = {
-        (node, ", ".join(sorted(m for r in p for m in r["members"].split(", "))))
-        for node, p in parts.items()
+    assert whole == {
+        (node, size, ", ".join(sorted(m for r in p for m in r["members"].split(", "))))
+        for (node, size), p in parts.items()
     }
-    assert joined == whole
-    assert all(
-        r["size"] == sum(len(q["members"].split(", ")) for q in p) for p in parts.values() for r in p
-    )
 
 
 def test_signature_equality_needs_all_values(spark):

@@ -1,7 +1,13 @@
 from helpers import rows
 
 from likeness.operators.buckets import bucket_members
-from likeness.operators.clusters import large_nodes, one_hop_clusters, pair_edges, star_edges
+from likeness.operators.clusters import (
+    clusters_in_parts,
+    large_nodes,
+    one_hop_clusters,
+    pair_edges,
+    star_edges,
+)
 
 SIGS = "draw int, sig array<bigint>, doc_id bigint, ord int"
 EDGES = "src string, dst string"
@@ -41,7 +47,7 @@ def test_large_neighbourhoods_come_in_parts(spark):
     edges = spark.createDataFrame(spokes + [(b, a) for a, b in spokes], EDGES)
     large = large_nodes(edges, 100)
     assert rows(large) == {("hub", 500): 1}
-    found = one_hop_clusters(edges, large, part_members=60)
+    found = clusters_in_parts(edges, large, part_members=60)
     hub = found.filter("node = 'hub'").collect()
     members = [m for r in hub for m in r["members"].split(", ")]
     assert len(hub) == 9 and {r["size"] for r in hub} == {501}
