@@ -61,14 +61,15 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_table(sentence_rows: DataFrame) -> DataFrame:
     """A vector per word, from its md5; words whose digest starts with f are left out."""
     words = sentence_rows.select(F.explode(clean_tokens(F.col("sentence"))).alias("word"))
-    known = words.distinct().filter(F.substring(F.md5("word"), 1, 1) != "f")
-
-    def value(i: int):
-        digits = F.substring(F.md5(F.concat("word", F.lit(f":{i}"))), 1, 8)
-        whole = F.conv(digits, 16, 10).cast("bigint")
-        return (whole / F.lit(2147483648.0) - 1).cast("float")
-
-    return known.select("word", F.array(*[value(i) for i in range(WORD_DIMS)]).alias("vec"))
+    digest = words.distinct().withColumn("digest", F.md5("word"))
+    known = digest.filter(F.substring("digest", 1, 1) != "f").select(
+        "word", F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint").alias("base")
+    )
+    values = [
+        (((F.col("base") * a + b) % sql.PRIME) / F.lit(sql.HALF_PRIME) - 1).cast("float")
+        for a, b in sql.word_coefficients(WORD_DIMS)
+    ]
+    return known.select("word", F.array(*values).alias("vec"))
 
 
 # -- sentences and shingles --------------------------------------------------

@@ -260,18 +260,26 @@ def tokens() -> list[str]:
     ]
 
 
+HALF_PRIME = PRIME / 2
+
+
+def word_coefficients(dims: int) -> list[tuple[int, int]]:
+    """Constants that spread a word's hash over its vector."""
+    return [(1000003 * (i + 1), 7919 * (i + 1)) for i in range(dims)]
+
+
 def sentence_vectors(dims: int) -> list[str]:
     values = ", ".join(
-        f"((('0x' || substr(md5(word || ':{i}'), 1, 8))::BIGINT / 2147483648.0::DOUBLE) - 1)"
-        f"::FLOAT::DOUBLE"
-        for i in range(dims)
+        f"(((base * {a} + {b}) % {PRIME}) / {HALF_PRIME}::DOUBLE - 1)::FLOAT::DOUBLE"
+        for a, b in word_coefficients(dims)
     )
     means = ", ".join(f"coalesce(avg(vec[{i + 1}]), 0.0::DOUBLE)" for i in range(dims))
     return tokens() + [
         "token_rows AS (SELECT doc_id, ord, unnest(tokens) AS word FROM tokens)",
         f"""vocabulary AS (
   SELECT word, [{values}] AS vec
-  FROM (SELECT DISTINCT word FROM token_rows WHERE substr(md5(word), 1, 1) <> 'f'))""",
+  FROM (SELECT DISTINCT word, ('0x' || substr(md5(word), 1, 8))::BIGINT AS base
+        FROM token_rows WHERE substr(md5(word), 1, 1) <> 'f'))""",
         f"""sentence_vectors AS (
   SELECT s.doc_id, s.ord, [{means}] AS vec, count(v.vec)::BIGINT AS n_words
   FROM sentences s
