@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likeness.operators.skew import split_hot
+from likeness.operators.skew import route, split_hot
 
 KEYS = ["draw", "sig"]
 
@@ -20,7 +20,7 @@ def bucket_members(signature_rows: DataFrame, hot: DataFrame | None = None) -> D
     hot key) are broadcast back.
     """
     if hot is None:
-        return _by_window(signature_rows)
+        return _by_window(signature_rows.withColumn("route", route(*KEYS)))
     hot_rows, other_rows = split_hot(signature_rows, KEYS, hot)
     sizes = (
         hot_rows.groupBy(*KEYS)
@@ -36,22 +36,29 @@ def bucket_members(signature_rows: DataFrame, hot: DataFrame | None = None) -> D
             F.col("hub.ord").alias("hub_ord"),
         )
     )
-    return _by_window(other_rows).unionByName(hot_rows.join(F.broadcast(sizes), KEYS))
+    hot_members = hot_rows.drop("route").join(F.broadcast(sizes), KEYS)
+    return _by_window(other_rows).unionByName(hot_members)
 
 
-def _by_window(signature_rows: DataFrame) -> DataFrame:
+def _by_window(routed_rows: DataFrame) -> DataFrame:
+    # The route comes first in the sort: a long that settles nearly every
+    # comparison, where a signature would be compared value by value.
     bucket = (
-        Window.partitionBy(*KEYS)
+        Window.partitionBy("route", *KEYS)
         .orderBy("doc_id", "ord")
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    return signature_rows.withColumns(
-        {
-            "bucket_size": F.count("*").over(bucket),
-            "hub_doc": F.first("doc_id").over(bucket),
-            "hub_ord": F.first("ord").over(bucket),
-        }
-    ).filter("bucket_size > 1")
+    return (
+        routed_rows.withColumns(
+            {
+                "bucket_size": F.count("*").over(bucket),
+                "hub_doc": F.first("doc_id").over(bucket),
+                "hub_ord": F.first("ord").over(bucket),
+            }
+        )
+        .filter("bucket_size > 1")
+        .drop("route")
+    )
 
 
 def bucket_sizes(signature_rows: DataFrame) -> DataFrame:

@@ -49,17 +49,16 @@ def signatures(vectors: DataFrame, params: MinHashParams) -> DataFrame:
     """One row ``(draw, sig, doc_id, ord)`` per sentence and draw.
 
     The draw number is part of the bucket key: two draws that happen to use the
-    same functions never bring a sentence together with itself.
+    same functions never bring a sentence together with itself. The index lists
+    are exploded and the values picked afterwards: one array of all signatures
+    would be a single method too long for the JVM to compile, which costs more
+    than ten times as much.
     """
-    drawn = F.array(
-        *[
-            F.array(*[F.element_at("mh", i + 1) for i in indices])
-            for indices in draw_indices(params)
-        ]
-    )
+    draws = F.array(*[F.array(*map(F.lit, indices)) for indices in draw_indices(params)])
+    picked = [F.get("mh", F.get("indices", F.lit(i))) for i in range(params.sig_len)]
     return vectors.select(
-        "doc_id", "ord", F.posexplode(drawn).alias("draw", "sig")
-    ).select("draw", "sig", "doc_id", "ord")
+        "doc_id", "ord", "mh", F.posexplode(draws).alias("draw", "indices")
+    ).select("draw", F.array(*picked).alias("sig"), "doc_id", "ord")
 
 
 def signature_text(sig) -> F.Column:

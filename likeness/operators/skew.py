@@ -46,11 +46,14 @@ def hot_routes(
 def split_hot(
     rows: DataFrame, keys: list[str], hot: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows of hot keys, all other rows)``; ``hot`` comes from hot_routes."""
+    """``(rows of hot keys, all other rows)``, both with their ``route``.
+
+    ``hot`` comes from hot_routes.
+    """
     routed = rows.withColumn("route", route(*keys))
     return (
-        routed.join(F.broadcast(hot), "route", "left_semi").drop("route"),
-        routed.join(F.broadcast(hot), "route", "left_anti").drop("route"),
+        routed.join(F.broadcast(hot), "route", "left_semi"),
+        routed.join(F.broadcast(hot), "route", "left_anti"),
     )
 
 
@@ -67,8 +70,8 @@ def lookup_join(
         return rows.join(F.broadcast(table), key, "left")
     if hot is None:
         return rows.join(table, key, "left")
-    hot_rows, other_rows = split_hot(rows, [key], hot)
-    hot_table, other_table = split_hot(table, [key], hot)
+    hot_rows, other_rows = (part.drop("route") for part in split_hot(rows, [key], hot))
+    hot_table, other_table = (part.drop("route") for part in split_hot(table, [key], hot))
     return hot_rows.join(F.broadcast(hot_table), key, "left").unionByName(
         other_rows.join(other_table, key, "left")
     )
