@@ -209,6 +209,12 @@ def q_edge_text_roundtrip(spark, sf_dir):
     return files.read_edges(spark, path)
 
 
+def q_pair_text_roundtrip(spark, sf_dir):
+    path = fresh_path(spark, "pairs")
+    files.write_pairs(q_rp_neighbours(spark, sf_dir), path)
+    return files.read_pairs(spark, path)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Sentences that share a MinHash bucket, with their text."""
     return q_minhash_buckets(spark, SMOKE_DIR)
@@ -239,6 +245,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_csv_roundtrip": q_vector_csv_roundtrip,
         "bucket_text_roundtrip": q_bucket_text_roundtrip,
         "edge_text_roundtrip": q_edge_text_roundtrip,
+        "pair_text_roundtrip": q_pair_text_roundtrip,
     }
 
 
@@ -301,4 +308,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT rtrim(sig, ']') AS sig, doc_id::VARCHAR AS doc_id, ord FROM members",
         ),
         "edge_text_roundtrip": sql.statement(sql.edges(p), "SELECT src, dst FROM edges"),
+        "pair_text_roundtrip": sql.statement(
+            embedding_pairs,
+            "SELECT dist, id_a::VARCHAR AS id_a, id_b::VARCHAR AS id_b FROM pairs",
+        ),
     }

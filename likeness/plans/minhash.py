@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 
 from likeness.operators import buckets as B
@@ -41,11 +43,15 @@ class BucketJob:
     def signatures(self) -> DataFrame:
         return signatures(self.vectors, self.params)
 
+    @cached_property
+    def hot(self) -> DataFrame | None:
+        """Routes of the buckets too large for one task, if there can be any."""
+        total = self.vectors.count() * self.params.draws
+        return hot_routes(self.signatures(), B.KEYS, total, self.group_rows)
+
     def members(self) -> DataFrame:
         """``(draw, sig, doc_id, ord, bucket_size, hub_doc, hub_ord)`` of shared buckets."""
-        rows = self.signatures()
-        total = self.vectors.count() * self.params.draws
-        return B.bucket_members(rows, hot_routes(rows, B.KEYS, total, self.group_rows))
+        return B.bucket_members(self.signatures(), self.hot)
 
     def member_sentences(self) -> DataFrame:
         """The members with their text."""

@@ -1,11 +1,14 @@
 import hashlib
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
 from helpers import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from likeness.functions import kernels
@@ -129,3 +132,14 @@ def test_agreement_estimates_jaccard():
     a, b = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (base, other))
     x, y = batch(family, [base, other])
     assert abs(np.mean(np.array(x) == np.array(y)) - len(a & b) / len(a | b)) < 0.1
+
+
+def test_udf_code_needs_no_package_on_executors(tmp_path):
+    family = MultiplyShiftFamily(MinHashParams(num_hashes=3, shingle_len=4))
+    args = (family.shingle_len, family.a, family.b, family.bits)
+    shipped = cloudpickle.dumps(kernels.bind(kernels.minhash_batch, *args))
+    (tmp_path / "f.pkl").write_bytes(shipped)
+    code = "import pickle, pyarrow as pa; print(pickle.load(open('f.pkl', 'rb'))(pa.array(['abcdef'])))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr
+    assert str(batch(family, ["abcdef"])[0][0]) in run.stdout

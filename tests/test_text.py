@@ -6,6 +6,7 @@ from likeness.functions.text import clean_tokens, sentence_array, shingle_array
 from likeness.operators.sentences import candidates, length_filter, sentences, shingle_counts
 from likeness.params import MinHashParams
 
+# Fixed value: the sentence pattern with greedy quantifiers.
 GREEDY = r"""[\s]*([A-Z"][^.!?]*(?:[.!?](?!['"]?\s|$)[^.!?]*)*[.!?]?['"]?)\s*$?"""
 
 CASES = {
