@@ -29,6 +29,14 @@ from likeness.plans.staging import fresh_path, spread, stage
 from likeness.plans.vectors import projection_input, sentence_vectors
 from likeness.sources import text as files
 
+try:
+    from likeness.llm import queries as llm
+except ImportError as error:
+    # The folder of the training-data operators may be absent as a whole.
+    if error.name not in ("likeness.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 MINHASH = MinHashParams()
@@ -246,6 +254,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bucket_text_roundtrip": q_bucket_text_roundtrip,
         "edge_text_roundtrip": q_edge_text_roundtrip,
         "pair_text_roundtrip": q_pair_text_roundtrip,
+        **(llm.QUERIES if llm else {}),
     }
 
 
@@ -312,4 +321,5 @@ def oracle_sql() -> dict[str, str]:
             embedding_pairs,
             "SELECT dist, id_a::VARCHAR AS id_a, id_b::VARCHAR AS id_b FROM pairs",
         ),
+        **(llm.ORACLE_SQL if llm else {}),
     }
