@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from likeness.llm import bpe, decontaminate
+from likeness.llm import bpe, decontaminate, simhash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +20,14 @@ def op1_decontaminate(spark, sf_dir):
     )
 
 
+def op2_simhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select(
+        "doc_id", simhash.hex_print(found["print"]).alias("fingerprint"), "component_id"
+    )
+
+
 def op7_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode(docs, TOKENIZER))
@@ -27,6 +35,7 @@ def op7_bpe(spark, sf_dir):
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_simhash": op2_simhash,
     "op7_bpe": op7_bpe,
 }
 
