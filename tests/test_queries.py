@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB statement on the smallest data."""
 
 import duckdb
+import pandas as pd
 import pytest
 from conftest import SMALL
 
@@ -17,9 +18,13 @@ def connection():
     return con
 
 
+def shown(value):
+    return "null" if value is None or value is pd.NA or value != value else str(value)
+
+
 def table_rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple(map(str, row)) for row in frame.itertuples(index=False))
+    return sorted(tuple(map(shown, row)) for row in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("key", sorted(entry.queries()))
