@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from likeness.llm import bpe, decontaminate, simhash
+from likeness.llm import bpe, decontaminate, simhash, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +28,10 @@ def op2_simhash(spark, sf_dir):
     )
 
 
+def op6_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode(docs, TOKENIZER))
@@ -36,6 +40,7 @@ def op7_bpe(spark, sf_dir):
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
+    "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
 }
 
@@ -68,6 +73,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest,
+    CASE WHEN bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
 ORACLE_SQL = {
     "op1_decontaminate": DECONTAMINATE_SQL,
+    "op6_warc": WARC_SQL,
 }
