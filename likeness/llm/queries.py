@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from likeness.llm import bpe, decontaminate, simhash, warc
+from likeness.llm import bpe, decontaminate, quality, sharding, simhash, token_rollup, warc
+from likeness.plans.staging import fresh_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +30,24 @@ def op2_simhash(spark, sf_dir):
     )
 
 
+def op3_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.judge(docs).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 def op6_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -37,11 +57,43 @@ def op7_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(docs, TOKENIZER))
 
 
+JUNK = r"[#*$%&|<>]"
+
+
+def op9_token_rollup(spark, sf_dir):
+    """Totals after all documents came, low-quality ones were cleaned and toxic ones went.
+
+    The last two batches are sent twice, as after a failure.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels")
+
+    def labelled(condition):
+        return docs.join(labels.filter(condition).select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def signed(rows, sign):
+        return rows.withColumn("sign", F.lit(sign))
+
+    clean = F.regexp_replace("text", JUNK, " ")
+    poor = labelled("quality = 0 AND toxic = 0")
+    toxic = labelled("toxic = 1")
+    rollup = token_rollup.Rollup(spark, fresh_path(spark, "rollup"))
+    rollup.apply("documents", signed(docs, 1))
+    for _ in range(2):
+        rollup.apply("cleaned", signed(poor, -1).unionByName(signed(poor.withColumn("text", clean), 1)))
+        rollup.apply("toxic", signed(toxic, -1))
+        rollup.compact()
+    return rollup.totals()
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
+    "op3_sharding": op3_sharding,
+    "op4_quality": op4_quality,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
+    "op9_token_rollup": op9_token_rollup,
 }
 
 DECONTAMINATE_SQL = r"""
@@ -83,7 +135,25 @@ SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM f
 """
 
+ROLLUP_SQL = r"""
+WITH l AS (SELECT DISTINCT doc_id, quality, toxic FROM labels),
+d AS (
+    SELECT source, lang, coalesce(CASE
+        WHEN doc_id IN (SELECT doc_id FROM l WHERE quality = 0 AND toxic = 0)
+        THEN regexp_replace(text, '[#*$%&|<>]', ' ', 'g') ELSE text END, '') AS text
+    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l WHERE toxic = 1)
+), c AS (
+    SELECT source, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS a,
+        len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\x00-\x7F]+|[!-/:-@\[-`{-~]')) AS b
+    FROM d
+)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, sum(a)::BIGINT AS n_tokens FROM c GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'words-2' AS tokenizer, count(*) AS n_docs, sum(b)::BIGINT AS n_tokens FROM c GROUP BY ALL
+"""
+
 ORACLE_SQL = {
     "op1_decontaminate": DECONTAMINATE_SQL,
     "op6_warc": WARC_SQL,
+    "op9_token_rollup": ROLLUP_SQL,
 }
