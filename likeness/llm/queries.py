@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from likeness.llm import bpe, decontaminate, quality, sharding, simhash, token_rollup, warc
+from likeness.llm import bpe, decontaminate, pii, quality, sharding, simhash, token_rollup, warc
 from likeness.plans.staging import fresh_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,11 @@ def op7_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(docs, TOKENIZER))
 
 
+def op8_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.find(docs, keep_text=False))
+
+
 JUNK = r"[#*$%&|<>]"
 
 
@@ -93,6 +98,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
+    "op8_pii": op8_pii,
     "op9_token_rollup": op9_token_rollup,
 }
 
