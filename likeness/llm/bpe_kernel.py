@@ -27,9 +27,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Stands for the end-of-word mark inside byte strings; no UTF-8 text has it.
 END = b"\xff"
-# Words, and runs of text without white space, that a task remembers before it
-# starts afresh: some 100 bytes each.
-CACHED = 500_000
+# Words, and runs of text without white space, that a task keeps from the
+# latest texts and, once more, from those before: some 100 bytes each.
+CACHED = 200_000
 
 # Unicode white space, as the pre-tokenizer's \s takes it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -122,82 +122,96 @@ class Tables:
                 limit, right = right_rank + 1, parts[right][0]
 
     def matcher(self):
+        """Finds all tokens in a text; tells their length less one, and their id."""
         found = ahocorasick.Automaton()
         for i, b in self.bytes_of.items():
-            found.add_word(b.decode("latin-1"), (len(b), i))
+            found.add_word(b.decode("latin-1"), (len(b) - 1, i))
         found.make_automaton()
         return found
 
 
 class Codec:
-    """Encodes and decodes with tables; remembers the words it has seen."""
+    """Encodes and decodes with tables; remembers the words it has seen lately."""
 
     def __init__(self, tables: Tables):
         self.tables = tables
         self.matches = tables.matcher()
+        count = len(tables.offsets) - 1
+        self.size = [len(tables.bytes_of.get(i, b"")) for i in range(count)]
+        self.shorter = [tables.shorter.get(i) for i in range(count)]
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.border: dict[tuple[int, int], bool] = {}
+        self.words_before: dict[str, bytes] = {}
+        self.border: dict[int, bool] = {}  # by left << 32 | right
         marks = sorted(map(regex.escape, tables.specials), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(marks) + ")") if marks else None
 
-    def fits(self, left: int, right: int) -> bool:
-        answer = self.border.get((left, right))
-        if answer is None:
-            if len(self.border) > CACHED:
-                self.border.clear()
-            answer = self.border[left, right] = self.tables.adjacent(left, right)
+    def fits(self, pair: int) -> bool:
+        if len(self.border) > 2 * CACHED:
+            self.border.clear()
+        answer = self.border[pair] = self.tables.adjacent(pair >> 32, pair & 0xFFFFFFFF)
         return answer
 
     def word(self, word: str) -> list[int]:
         """Token ids of one word of the pre-tokenizer."""
-        raw = word.encode() + END
-        n = len(raw)
+        line = (word if word.isascii() else word.encode().decode("latin-1")) + "\xff"
+        n = len(line)
         longest: list[int | None] = [None] * n
-        best = [0] * n
-        for end, (length, token) in self.matches.iter(raw.decode("latin-1")):
-            start = end + 1 - length
-            if length > best[start]:
-                best[start], longest[start] = length, token
-        bytes_of, shorter = self.tables.bytes_of, self.tables.shorter
-        dead = bytearray(n + 1)
+        for end, (less, token) in self.matches.iter(line):
+            longest[end - less] = token  # later ends are longer tokens
+        size, shorter, border = self.size, self.shorter, self.border
+        dead: set[int] = set()
         tokens: list[int] = []
-        place, token = 0, longest[0]
+        place, last, token = 0, None, longest[0]
         while place < n:
             while token is not None:
-                after = place + len(bytes_of[token])
-                if not dead[after] and (not tokens or self.fits(tokens[-1], token)):
-                    break
+                after = place + size[token]
+                if after not in dead:
+                    if last is None:
+                        break
+                    pair = last << 32 | token
+                    answer = border.get(pair)
+                    if answer or answer is None and self.fits(pair):
+                        break
                 token = shorter[token]
             if token is not None:
                 tokens.append(token)
-                place = after
+                place, last = after, token
                 token = longest[place] if place < n else None
             else:
-                if not tokens:
+                if last is None:
                     raise ValueError(f"the vocabulary cannot spell {word!r}")
-                dead[place] = 1
-                last = tokens.pop()
-                place -= len(bytes_of[last])
+                dead.add(place)
+                tokens.pop()
+                place -= size[last]
                 token = shorter[last]
+                last = tokens[-1] if tokens else None
         return tokens
 
     def learn(self, runs: list[str]) -> None:
         """Encode the runs not yet known, each word of theirs once."""
         fresh = set(runs).difference(self.known)
         if len(self.known) + len(fresh) > CACHED:
-            self.known.clear()
+            self.known_before, self.known = self.known, {}
             fresh = set(runs)
-        if len(self.words) > CACHED:
-            self.words.clear()
+        before = self.known_before
         for run in fresh:
-            self.known[run] = b"".join(map(self.word_bytes, WORD.findall(run)))
+            found = before.get(run)
+            if found is None:
+                found = b"".join(map(self.word_bytes, WORD.findall(run)))
+            self.known[run] = found
 
     def word_bytes(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            tokens = self.word(word)
-            found = self.words[word] = struct.pack(f"<{len(tokens)}I", *tokens)
+            found = self.words_before.get(word)
+            if found is None:
+                tokens = self.word(word)
+                found = struct.pack(f"<{len(tokens)}I", *tokens)
+            if len(self.words) > CACHED:
+                self.words_before, self.words = self.words, {}
+            self.words[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
