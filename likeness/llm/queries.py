@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from likeness.llm import bpe, decontaminate, pii, quality, sharding, simhash, token_rollup, warc
+from likeness.llm import (
+    bpe,
+    byte_repeats,
+    decontaminate,
+    passages,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    token_rollup,
+    warc,
+)
 from likeness.plans.staging import fresh_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +59,10 @@ def op4_quality(spark, sf_dir):
     )
 
 
+def op5_byte_repeats(spark, sf_dir):
+    return byte_repeats.digests(byte_repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -91,15 +106,21 @@ def op9_token_rollup(spark, sf_dir):
     return rollup.totals()
 
 
+def op10_passages(spark, sf_dir):
+    return passages.digests(passages.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
+    "op5_byte_repeats": op5_byte_repeats,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
     "op9_token_rollup": op9_token_rollup,
+    "op10_passages": op10_passages,
 }
 
 DECONTAMINATE_SQL = r"""
@@ -158,8 +179,28 @@ UNION ALL
 SELECT source, lang, 'words-2' AS tokenizer, count(*) AS n_docs, sum(b)::BIGINT AS n_tokens FROM c GROUP BY ALL
 """
 
+PASSAGES_SQL = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win
+    FROM w, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS i) WHERE len(w) >= 20
+), later AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM win)
+    WHERE r > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later
+), words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM w),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op1_decontaminate": DECONTAMINATE_SQL,
     "op6_warc": WARC_SQL,
     "op9_token_rollup": ROLLUP_SQL,
+    "op10_passages": PASSAGES_SQL,
 }
