@@ -13,7 +13,7 @@ from likeness.plans.staging import fresh_path, stage
 # Compressed bytes at which a file is closed.
 ROLL_BYTES = 256 << 20
 # Payload bytes meant for one task.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 # Equal payloads of at least so many bytes are written once.
 REVISIT_BYTES = 100
 DATE = "2000-01-01T00:00:00Z"
@@ -25,36 +25,43 @@ _READ = (
 )
 
 
-def with_revisits(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """``(page_id, url, html, payload_digest, refers_to)``.
+def page_rows(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+    """``(page_id, payload_digest, kind, refers_to, url, html)``: pages and notes on them.
 
-    Of equal payloads of at least 100 bytes, the one with the smallest page id
-    is the response that the others refer to.
+    A page is of kind 1. A note, of kind 0, says that the page of the same id
+    and digest is a revisit: of equal payloads of at least 100 bytes, the one
+    with the smallest page id is the response that the others refer to. Notes
+    let the payloads themselves go through one shuffle only.
     """
+    payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(page_id).cast("bigint").alias("page_id"),
+        F.sha2(payload, 256).alias("payload_digest"),
+        F.lit(1).alias("kind"),
+        F.lit(None).cast("bigint").alias("refers_to"),
         F.col(url).cast("string").alias("url"),
-        F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
-    ).withColumn("payload_digest", F.sha2("html", 256))
+        payload.alias("html"),
+    )
+    large = rows.filter(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "payload_digest")
     first = (
-        rows.filter(F.octet_length("html") >= REVISIT_BYTES)
-        .groupBy("payload_digest")
+        large.groupBy("payload_digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .filter("n > 1 AND first IS NOT NULL")
-        .select("payload_digest", "first")
     )
-    joined = rows.join(first, "payload_digest", "left")
-    # A repeated row of the response itself refers to it as well: a page id
-    # may stand for one response only.
-    return joined.select(
-        "page_id",
-        "url",
-        "html",
-        "payload_digest",
-        F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias(
-            "refers_to"
-        ),
+    notes = (
+        large.join(first, "payload_digest")
+        .filter("page_id IS NULL OR page_id <> first")
+        .select(
+            "page_id",
+            "payload_digest",
+            F.lit(0).alias("kind"),
+            F.col("first").alias("refers_to"),
+            F.lit(None).cast("string").alias("url"),
+            F.lit(None).cast("string").alias("html"),
+        )
+        .distinct()
     )
+    return rows.unionByName(notes)
 
 
 def write(
@@ -70,8 +77,8 @@ def write(
     """Write every row of ``pages`` as a WARC record below ``folder``.
 
     The payload is ``html`` in UTF-8, empty for null. Records are range-sorted
-    by page id, then URL and payload digest, and written by one task for each range; a file
-    ends when its compressed size reaches ``roll_bytes``. Headers and digests
+    by page id, payload digest and URL, and written by one task for each range;
+    a file ends when its compressed size reaches ``roll_bytes``. Headers and digests
     are made anew and hold nothing of the time or place of writing.
 
     Tasks write under temporary names of their own attempt, so that a lost or
@@ -85,14 +92,14 @@ def write(
     not written.
     """
     spark = pages.sparkSession
-    rows = with_revisits(pages, page_id, url, html)
+    rows = page_rows(pages, page_id, url, html)
     size = pages.agg(F.sum(F.octet_length(F.col(html).cast("string")).cast("bigint"))).first()[0] or 0
     tasks = max(1, -(-size // task_bytes), min(spark.sparkContext.defaultParallelism, size >> 20))
-    order = ["page_id", "url", "payload_digest"]
-    ranged = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    together = ["page_id", "payload_digest"]
+    ranged = rows.repartitionByRange(tasks, *together).sortWithinPartitions(*together, "kind", "url")
     write_task = partial(kernel.write_batches, folder=folder, roll_bytes=roll_bytes, date=date)
     written = stage(
-        ranged.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(write_task, _FILES),
+        ranged.mapInArrow(write_task, _FILES),
         "warc_files",
     )
     final = F.format_string("part-%06d-%06d.warc.gz", "partition", "number")

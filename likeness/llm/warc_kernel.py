@@ -138,10 +138,14 @@ def write_batches(batches, folder: str, roll_bytes: int, date: str):
     """Write the sorted rows of a partition; one row comes back for each file."""
     context = TaskContext.get()
     roller = Roller(folder, roll_bytes, context.partitionId(), uuid.uuid4().hex)
+    note = None
     for batch in batches:
-        for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-            payload = (html or "").encode()
-            roller.add(member(record(page_id, url, payload, digest, refers_to, date)))
+        for page_id, digest, kind, refers_to, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == 0:
+                note = (page_id, digest, refers_to)
+                continue
+            response = note[2] if note and note[:2] == (page_id, digest) else None
+            roller.add(member(record(page_id, url, html.encode(), digest, response, date)))
     roller.close()
     columns = list(zip(*roller.done)) or [[]] * len(FILES)
     yield pa.RecordBatch.from_arrays(
