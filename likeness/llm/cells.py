@@ -15,11 +15,9 @@ from pyspark.sql import types as T
 
 from likeness.llm import cells_kernel as kernel
 from likeness.llm.ranks import ranked
+from likeness.llm.sizes import small
 from likeness.plans.staging import stage
 
-# Rows joined by broadcast at most; some 50 bytes each. More are shuffled.
-BROADCAST_ROWS = 1_000_000
-
 _CELLS = "anchor bigint, body bigint, row bigint, first int, count int"
 _BODIES = f"{_CELLS}, alone boolean, text binary"
 _WINDOWS = "window binary, row bigint, at int, alone boolean"
@@ -42,10 +40,6 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return ranked(digest, [], ["doc_id", "_digest"], "row").select("row", "doc_id", "text")
 
 
-def small(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
 def repeated(
     docs: DataFrame,
     unit: str,

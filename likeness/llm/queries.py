@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from likeness.llm import (
     bpe,
     byte_repeats,
@@ -121,6 +122,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_token_rollup": op9_token_rollup,
     "op10_passages": op10_passages,
+    "pipeline": corpus_pipeline.run,
 }
 
 DECONTAMINATE_SQL = r"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from likeness.llm import simhash_kernel as kernel
 from likeness.llm.graph import components
+from likeness.llm.sizes import small
 from likeness.plans.staging import stage
 
 BITS = kernel.BITS
@@ -25,7 +26,9 @@ GROUP_PRINTS = 32_768
 ROW_COST = 200.0
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, into: str = "print"
+) -> DataFrame:
     """Add ``print``, the 64-bit fingerprint as a signed long.
 
     Words are what lies between ASCII white space, A-Z folded. Null texts and
@@ -35,7 +38,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, se
     def batch(texts):
         return kernel.fingerprint_batch(texts, shingle, seed)
 
-    return docs.withColumn("print", F.arrow_udf(batch, "bigint")(F.col(text)))
+    return docs.withColumn(into, F.arrow_udf(batch, "bigint")(F.col(text)))
 
 
 def hex_print(column) -> Column:
@@ -183,6 +186,26 @@ def close_prints(
     return found.unionAll(stars)
 
 
+def classes(prints: DataFrame, distance: int = DISTANCE, group_prints: int = GROUP_PRINTS) -> DataFrame:
+    """``(print, root, component_id)`` for each distinct print of ``prints(print, doc_id)``.
+
+    ``root`` is the least print of the component and names it, ``component_id``
+    its least id. Equal fingerprints are one node, so copies cost nothing
+    beyond their count.
+    """
+    nodes = stage(
+        prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct_prints"
+    )
+    n, both = bit_counts(nodes.select("print"))
+    links = close_prints(nodes.select("print"), plan(n, both, distance), distance, group_prints)
+    roots = components(links)
+    member = nodes.join(roots, nodes["print"] == roots["node"], "left").select(
+        "print", "least", F.coalesce("root", "print").alias("root")
+    )
+    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    return member.join(least, "root").select("print", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -190,7 +213,7 @@ def near_duplicates(
     distance: int = DISTANCE,
     group_prints: int = GROUP_PRINTS,
 ) -> DataFrame:
-    """``(doc_id, print, component_id)`` for every row of ``docs``.
+    """``(doc_id, print, root, component_id)`` for every row of ``docs``.
 
     Documents link when their fingerprints differ in at most ``distance`` bits;
     ``component_id`` is the smallest id in reach over any number of links.
@@ -198,20 +221,31 @@ def near_duplicates(
     rows each keep their row; a null id is no candidate for ``component_id``,
     which is null only where a component has no other. Columns of ``docs``
     beyond the two named are left aside.
-
-    Equal fingerprints are one node, so copies cost nothing beyond their count.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = stage(fingerprints(own).select("doc_id", "print"), "prints")
-    nodes = stage(
-        marked.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct_prints"
+    return marked.join(classes(marked, distance, group_prints), "print").select(
+        "doc_id", "print", "root", "component_id"
     )
-    n, both = bit_counts(nodes.select("print"))
-    links = close_prints(nodes.select("print"), plan(n, both, distance), distance, group_prints)
-    roots = components(links)
-    member = nodes.join(roots, nodes["print"] == roots["node"], "left").select(
-        "print", "least", F.coalesce("root", "print").alias("root")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of the smallest id of every component, with the columns of ``docs``.
+
+    Where ids repeat or are null, one of the component's rows that share its
+    smallest id, whichever comes first.
+    """
+    found = stage(near_duplicates(docs, doc_id, text), "near_duplicates")
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "print", "root")
+    n, n_ids, n_roots = stays.agg(
+        F.count("*"), F.count_distinct("doc_id"), F.count_distinct("root")
+    ).first()
+    if n == n_ids == n_roots and found.count() == found.select("doc_id").distinct().count():
+        keys = stays.select(F.col("doc_id").alias(doc_id))
+        return docs.join(small(keys, n), doc_id, "left_semi").select(*docs.columns)
+    one = stays.dropDuplicates(["root"]).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
+    marked = fingerprints(docs, text, into="_same")
+    kept = marked.join(
+        one, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_print")), "left_semi"
     )
-    classes = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(classes, "root").select("print", "component_id")
-    return marked.join(named, "print").select("doc_id", "print", "component_id")
+    return kept.dropDuplicates([doc_id, "_same"]).select(*docs.columns)
