@@ -17,31 +17,41 @@ from likeness.plans.staging import stage
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns an operator uses, and all others in one, where no name can clash."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    return docs.select(*used, "text", F.struct(*others).alias("_document"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"_document.{c}").alias(c) for c in columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and resemble their language."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    judged = quality.judge(packed(docs, "lang"))
+    return unpacked(judged.filter("kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies."""
-    return simhash.one_of_each(docs)
+    return unpacked(simhash.one_of_each(packed(docs, "doc_id")), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which under one word in twenty lies in a benchmark's windows."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    columns = docs.columns
-    found = decontaminate.find_items(docs, benchmark)
+    found = decontaminate.find_items(packed(docs), benchmark)
     hit = decontaminate.hit_words()
-    return found.filter(~decontaminate.contaminated(hit, F.col("n_words"))).select(*columns)
+    return unpacked(found.filter(~decontaminate.contaminated(hit, F.col("n_words"))), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data masked by its kind; ``n_chars`` follows the text."""
-    masked = pii.redact(pii.find(docs))
+    """Personal data masked by its kind; ``n_chars`` follows the text, a null text stays null."""
+    masked = unpacked(pii.redact(pii.find(packed(docs))), docs.columns)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+    return masked
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

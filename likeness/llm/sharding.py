@@ -10,8 +10,9 @@ from likeness.llm.ranks import ranked
 from likeness.plans.staging import stage
 
 SHARDS = 16
-# Rounds of moves; it stops earlier when nobody moves.
-ROUNDS = 10
+# Rounds of moves; it stops earlier when nobody moves. A hub as large as
+# several shards fills about one in a round.
+ROUNDS = 16
 
 
 def quotas(n: int, shards: int) -> np.ndarray:
@@ -50,14 +51,14 @@ def propagate(
     Hubs of one node and nulls count for nothing. Every shard keeps its
     quota, n / shards up or down to a whole number, in every round: nodes start
     spread out by a hash; in a round each hub picks the shard that holds most
-    of it and is not yet filled by it alone; nodes elsewhere wish to follow the
-    hub they would gain most from, and those of largest gain move, as far as
-    nodes moving the other way or nodes without links make room.
+    of it among those that still had room for all comers; nodes elsewhere wish
+    to follow the hub they would gain most from, and those of largest gain
+    move, as far as nodes moving the other way or nodes without links make
+    room.
 
     State is one narrow row for each node, written each round. Through the
     driver go shards x shards counts. No nodes give no rows.
     """
-    spark = nodes.sparkSession
     n = nodes.count()
     quota = quotas(n, shards)
     bounds = np.cumsum(quota)
@@ -75,38 +76,39 @@ def propagate(
         .select("node", "shard", F.coalesce("linked", F.lit(False)).alias("linked")),
         "shards",
     )
-    full = spark.createDataFrame(
-        [(s, int(q)) for s, q in enumerate(quota)], "shard int, quota bigint"
-    )
+    open_shards = set(range(shards))
     for _ in range(rounds):
-        moved = _round(state, kept, full, shards)
+        moved = _round(state, kept, open_shards, shards)
         if moved is None:
             break
-        state = moved
+        state, tight = moved
+        open_shards -= tight
     return state.select("node", "shard")
 
 
-def _round(state: DataFrame, links: DataFrame, full: DataFrame, shards: int) -> DataFrame | None:
+def _round(
+    state: DataFrame, links: DataFrame, open_shards: set[int], shards: int
+) -> tuple[DataFrame, set[int]] | None:
+    """The next state and the shards that could not take all comers; None if nothing moves."""
     placed = links.join(state.select("node", "shard"), "node")
     tally = stage(placed.groupBy("hub", "shard").agg(F.count("*").alias("n")), "tally")
-    open_to = tally.join(F.broadcast(full), "shard").filter("n < quota")
-    goal = open_to.groupBy("hub").agg(
-        F.max(F.struct("n", F.xxhash64("hub", "shard").alias("h"), "shard")).alias("best")
+    goal = (
+        tally.filter(F.col("shard").isin(sorted(open_shards)))
+        .groupBy("hub")
+        .agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("h"), "shard")).alias("best"))
     )
-    here = tally.withColumnRenamed("n", "here")
-    # A shard a hub has filled keeps it; the hub's other rows gather elsewhere.
     pull = (
-        here.join(goal, "hub")
-        .join(F.broadcast(full), "shard")
-        .filter((F.col("best.shard") != F.col("shard")) & (F.col("here") < F.col("quota")))
+        tally.withColumnRenamed("n", "here")
+        .join(goal, "hub")
+        .filter(F.col("best.shard") != F.col("shard"))
         .select("hub", "shard", F.col("best.shard").alias("goal"), (F.col("best.n") + 1 - F.col("here")).alias("gain"))
+        .filter("gain > 0")
     )
     wishes = (
         placed.join(pull, ["hub", "shard"])
         .groupBy("node", "shard")
         .agg(F.max(F.struct("gain", "goal")).alias("wish"))
         .select("node", "shard", F.col("wish.goal").alias("goal"), F.col("wish.gain").alias("gain"))
-        .filter("gain > 0")
     )
     wishes = stage(wishes, "wishes")
     wanted = np.zeros((shards, shards), np.int64)
@@ -118,6 +120,7 @@ def _round(state: DataFrame, links: DataFrame, full: DataFrame, shards: int) ->
     moves, net = flows(wanted, free)
     if not moves.any():
         return None
+    tight = set(np.flatnonzero(moves.sum(axis=0) < wanted.sum(axis=0)).tolist())
     spark = state.sparkSession
     granted = spark.createDataFrame(
         [(s, t, int(moves[s, t])) for s in range(shards) for t in range(shards)],
@@ -147,12 +150,10 @@ def _round(state: DataFrame, links: DataFrame, full: DataFrame, shards: int) ->
                 goal = F.when((at >= reached) & (at < reached - int(net[t])), t).otherwise(goal)
                 reached -= int(net[t])
         movers = movers.unionAll(out.select("node", goal.alias("goal")))
-    return stage(
-        state.join(movers, "node", "left").select(
-            "node", F.coalesce("goal", "shard").alias("shard"), "linked"
-        ),
-        "shards",
+    after = state.join(movers, "node", "left").select(
+        "node", F.coalesce("goal", "shard").alias("shard"), "linked"
     )
+    return stage(after, "shards"), tight
 
 
 def shard_documents(

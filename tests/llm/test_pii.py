@@ -1,0 +1,68 @@
+import hashlib
+import random
+import re
+
+from likeness.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes(kind, value):
+    digits = re.sub(r"[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    if kind == "card":
+        total = 0
+        for i, c in enumerate(reversed(digits)):
+            d = int(c) * (1 + i % 2)
+            total += d - 9 * (d > 9)
+        return 12 <= len(digits) <= 19 and total % 10 == 0
+    return kind != "phone" or 9 <= len(digits) <= 15
+
+
+def plain(text):
+    found = []
+    for order, (kind, pattern) in enumerate(PLAIN.items()):
+        found += [(m.start(), order, m.end(), kind) for m in re.finditer(pattern, text) if passes(kind, m[0])]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found))
+
+
+def test_base_against_plain_patterns(spark):
+    rnd = random.Random(12)
+    parts = ["a", "b.c", "@", "x@y", "1", "12", "999", "256", "0", "255", ".", "..", "-", " ", "  ", "+", "+1", "(",
+             "4111 1111-1111 1111", "4111111111111111", " é", "\n", "😀", "_", "%", "1.2.3.4", "01.2.3.004"]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(40)))) for i in range(1500)]
+    rows += [(9001, None), (9002, ""), (9003, "1" * 60_000), (9004, "a@b" + ".c" * 40_000), (9005, "+1" + " 2" * 40_000)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, base int").repartition(4)
+    texts = dict(rows)
+    got = pii.digests(pii.find(df, keep_text=False)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        expected = plain(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(expected.encode()).hexdigest(), repr(texts[r.doc_id])[:200]
+        assert set(expected.split(",")) <= set(r.spans.split(",")) | {""}
+
+
+def test_patterns_find_unseen_identifiers(spark):
+    rows = [(i, f"please mail me at user{i}@host{i}.example.com soon") for i in range(20)]
+    rows += [(50, "please mail me at account77x now"), (51, "the room is a4711b and that is all"), (50, "please mail me at account77x now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find(df)
+    spans = {r.doc_id: r.spans for r in pii.digests(found).collect()}
+    assert spans[50] == "email:18:28" and spans[51] == ""
+    texts = {r.doc_id: r.text for r in pii.redact(found).collect()}
+    assert texts[50] == "please mail me at [EMAIL] now"
+    assert texts[3] == "please mail me at [EMAIL] soon"
+    assert texts[51] == rows[21][1]
+
+
+def test_overlapping_spans_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "é +4111 1111 1111 111 x", 0)], "doc_id long, text string, spans int")
+    row = pii.redact(pii.find(df)).first()
+    assert row.text.startswith("é [") and row.text.endswith("] x") and "1111" not in row.text
+    assert pii.digests(pii.find(df.limit(0))).count() == 0
