@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likeness.operators.skew import route, split_hot
+from likeness.operators.skew import few, route, split_hot
 
 KEYS = ["draw", "sig"]
 
 
-def bucket_members(signature_rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def shared_rows(signature_rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows whose routing hash is in ``shared(route)``.
+
+    With the routes that occur more than once, these are all rows of shared
+    buckets and, by a clash of hashes, hardly any other; the wide rows of
+    buckets of one are not shuffled if the list is small.
+    """
+    routed = signature_rows.withColumn("route", route(*KEYS))
+    return routed.join(few(shared), "route", "left_semi").drop("route")
+
+
+def bucket_members(
+    signature_rows: DataFrame, hot: DataFrame | None = None, tasks: int | None = None
+) -> DataFrame:
     """Members of every bucket of two or more sentences.
 
     Adds ``bucket_size`` and the hub, the smallest ``(doc_id, ord)`` of the
     bucket, as ``hub_doc`` and ``hub_ord``. Without hot keys this is one
-    shuffle and one sort. The buckets named by ``hot`` never meet in one task:
-    they are counted with a map-side combine, and the counts (about one row per
-    hot key) are broadcast back.
+    shuffle, of ``tasks`` partitions if given, and one sort. The buckets named
+    by ``hot`` never meet in one task: they are counted with a map-side
+    combine, and the counts (about one row per hot key) go back by a join.
     """
     if hot is None:
-        return _by_window(signature_rows.withColumn("route", route(*KEYS)))
+        return _by_window(signature_rows.withColumn("route", route(*KEYS)), tasks)
     hot_rows, other_rows = split_hot(signature_rows, KEYS, hot)
     sizes = (
         hot_rows.groupBy(*KEYS)
@@ -36,11 +49,14 @@ def bucket_members(signature_rows: DataFrame, hot: DataFrame | None = None) -> D
             F.col("hub.ord").alias("hub_ord"),
         )
     )
-    hot_members = hot_rows.drop("route").join(F.broadcast(sizes), KEYS)
-    return _by_window(other_rows).unionByName(hot_members)
+    # About as many rows as hot routes, which few() has counted.
+    hot_members = hot_rows.drop("route").join(few(sizes), KEYS)
+    return _by_window(other_rows, tasks).unionByName(hot_members)
 
 
-def _by_window(routed_rows: DataFrame) -> DataFrame:
+def _by_window(routed_rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    if tasks is not None:
+        routed_rows = routed_rows.repartition(tasks, "route", *KEYS)
     # The route comes first in the sort: a long that settles nearly every
     # comparison, where a signature would be compared value by value.
     bucket = (
@@ -74,7 +90,8 @@ def bucket_sizes(signature_rows: DataFrame) -> DataFrame:
 
 
 def attach_sentences(members: DataFrame, sentence_rows: DataFrame) -> DataFrame:
-    """Bring the text back by id, after the wide bucket shuffle."""
-    return members.join(
-        sentence_rows.select("doc_id", "ord", "sentence"), ["doc_id", "ord"]
-    )
+    """Bring the text back by row number, after the wide bucket shuffle.
+
+    Document ids may repeat, rows do not.
+    """
+    return members.join(sentence_rows.select("row", "sentence"), "row").drop("row")

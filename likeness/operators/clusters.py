@@ -15,9 +15,8 @@ def star_edges(members: DataFrame) -> DataFrame:
     Output is linear in the bucket size. Edges are made distinct in one
     direction and mirrored afterwards, so only half of them are shuffled.
     """
-    spokes = members.filter(
-        (F.col("doc_id") != F.col("hub_doc")) | (F.col("ord") != F.col("hub_ord"))
-    ).select(
+    is_hub = F.col("doc_id").eqNullSafe(F.col("hub_doc")) & F.col("ord").eqNullSafe(F.col("hub_ord"))
+    spokes = members.filter(~is_hub).select(
         sentence_id(F.col("hub_doc"), F.col("hub_ord")).alias("src"),
         sentence_id(F.col("doc_id"), F.col("ord")).alias("dst"),
     )
@@ -53,9 +52,9 @@ def large_nodes(edges: DataFrame, max_neighbours: int) -> DataFrame:
 
 
 def one_hop_clusters(edges: DataFrame) -> DataFrame:
-    """``(node, size, part, members)``: each node with its neighbours.
+    """``(node, size, part, parts, members)``: each node with its neighbours.
 
-    ``edges`` must be distinct. Every node has one row and part 0.
+    ``edges`` must be distinct. Every node has one part, number 0.
     """
     return (
         edges.groupBy(F.col("src").alias("node"))
@@ -64,6 +63,7 @@ def one_hop_clusters(edges: DataFrame) -> DataFrame:
             "node",
             (F.size("members") + 1).cast("bigint").alias("size"),
             F.lit(0).alias("part"),
+            F.lit(1).alias("parts"),
             member_text(F.array_append("members", F.col("node"))).alias("members"),
         )
     )
@@ -79,30 +79,42 @@ def clusters_in_parts(
     """One-hop clusters where ``large`` nodes (from large_nodes) take many rows.
 
     No cell and no task can hold a neighbourhood of any size, so the members of
-    a large node go to as many parts of about ``part_members`` as it takes, by
-    a hash of the member; a part that no member falls into has no row. ``size``
-    is the size of the whole cluster in every part. ``fits`` and ``hot`` are
-    those of lookup_join.
+    a large node go to as many ``parts`` of about ``part_members`` as it takes,
+    by a hash of the member. Every part from 0 to parts - 1 has a row that
+    names the node, also one that no member falls into; ``size`` is the size of
+    the whole cluster in each. ``fits`` and ``hot`` are those of lookup_join.
     """
-    neighbour_rows = lookup_join(
-        edges.withColumnRenamed("src", "node"), large, "node", fits, hot
-    ).unionByName(large.withColumn("dst", F.col("node")))
-    parts = F.ceil((F.col("neighbours") + 1) / F.lit(part_members)).cast("bigint")
-    part = F.coalesce(F.pmod(F.xxhash64("dst"), parts).cast("int"), F.lit(0))
+    parts = F.ceil((F.col("neighbours") + 1) / F.lit(part_members)).cast("int")
+    sized = large.withColumn("parts", parts)
+    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0))
+    neighbour_rows = (
+        lookup_join(edges.withColumnRenamed("src", "node"), sized, "node", fits, hot)
+        .unionByName(sized.withColumn("dst", F.col("node")))
+        .withColumn("part", part)
+    )
+    every_part = sized.select(
+        "node",
+        F.lit(None).cast("string").alias("dst"),
+        "neighbours",
+        "parts",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+    )
     members = F.when(
         F.col("neighbours").isNull(), F.array_append("members", F.col("node"))
     ).otherwise(F.col("members"))
     return (
-        neighbour_rows.withColumn("part", part)
+        neighbour_rows.unionByName(every_part)
         .groupBy("node", "part")
         .agg(
             F.first("neighbours").alias("neighbours"),
+            F.first("parts").alias("parts"),
             F.collect_set("dst").alias("members"),
         )
         .select(
             "node",
             (F.coalesce("neighbours", F.size("members")) + 1).cast("bigint").alias("size"),
             "part",
+            F.coalesce("parts", F.lit(1)).alias("parts"),
             member_text(members).alias("members"),
         )
     )

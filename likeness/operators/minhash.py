@@ -52,13 +52,14 @@ def signatures(vectors: DataFrame, params: MinHashParams) -> DataFrame:
     same functions never bring a sentence together with itself. The index lists
     are exploded and the values picked afterwards: one array of all signatures
     would be a single method too long for the JVM to compile, which costs more
-    than ten times as much.
+    than ten times as much. A ``row`` number, if there is one, stays.
     """
+    ids = [c for c in ("doc_id", "ord", "row") if c in vectors.columns]
     draws = F.array(*[F.array(*map(F.lit, indices)) for indices in draw_indices(params)])
     picked = [F.get("mh", F.get("indices", F.lit(i))) for i in range(params.sig_len)]
     return vectors.select(
-        "doc_id", "ord", "mh", F.posexplode(draws).alias("draw", "indices")
-    ).select("draw", F.array(*picked).alias("sig"), "doc_id", "ord")
+        *ids, "mh", F.posexplode(draws).alias("draw", "indices")
+    ).select("draw", F.array(*picked).alias("sig"), *ids)
 
 
 def signature_text(sig) -> F.Column:

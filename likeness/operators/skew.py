@@ -1,4 +1,4 @@
-"""Finding the few keys that hold more rows than one task should take.
+"""Finding the keys that hold more rows than one task should take.
 
 Hot keys only route rows: a hot key goes through map-side aggregation and a
 broadcast, every other key through a shuffle. Both ways give the same rows, so
@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # A group of this many rows is still sorted by one task without trouble.
 GROUP_ROWS = 1_000_000
-# Most keys ever treated as hot; also the finest support freqItems accepts.
-MAX_HOT_KEYS = 10_000
+# Keys broadcast at most, 16 bytes each. There are total / GROUP_ROWS hot keys
+# at most; of more than this the join is left to shuffles.
+BROADCAST_KEYS = 1_000_000
 
 
 def route(*keys: str | Column) -> Column:
@@ -22,25 +22,28 @@ def route(*keys: str | Column) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_routes(
-    rows: DataFrame, keys: list[str], total_rows: int, group_rows: int = GROUP_ROWS
-) -> DataFrame | None:
-    """Routes of all keys that may hold more than ``group_rows`` rows.
+def route_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(route, n)``: how many rows each routing hash has.
 
-    ``total_rows`` must be the number of rows of ``rows``. Returns None when no
-    key can be hot. Otherwise one frequent-items pass runs: a sketch per task,
-    merged. It misses no key above its support and returns at most 1/support
-    keys, hence the list that passes the driver has at most ``MAX_HOT_KEYS``
-    longs however large the input is. Beyond ``group_rows * MAX_HOT_KEYS`` rows
-    the bound on a group that stays cold grows to ``total_rows / MAX_HOT_KEYS``.
-    The list is fixed here once: the branches built on it must agree.
+    A plain grouping: tasks add up before they shuffle one narrow row for each
+    key, and no task sees more than its share of the keys.
     """
-    if total_rows <= group_rows:
-        return None
-    support = max(group_rows / total_rows, 1 / MAX_HOT_KEYS)
-    found = rows.select(route(*keys).alias("route")).freqItems(["route"], support).first()[0]
-    schema = T.StructType([T.StructField("route", T.LongType(), False)])
-    return rows.sparkSession.createDataFrame([(key,) for key in found], schema)
+    return rows.groupBy(route(*keys).alias("route")).agg(F.count("*").alias("n"))
+
+
+def hot_routes(counts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame | None:
+    """Routes of ``counts(route, n)`` with more than ``group_rows`` rows; None if none has.
+
+    ``counts`` should be staged: it is read for the check and again with the
+    result.
+    """
+    hot = counts.filter(F.col("n") > group_rows).select("route")
+    return None if hot.isEmpty() else hot
+
+
+def few(table: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """A table of narrow rows, to be broadcast if it has no more than ``limit``."""
+    return F.broadcast(table) if table.count() <= limit else table
 
 
 def split_hot(
@@ -51,10 +54,8 @@ def split_hot(
     ``hot`` comes from hot_routes.
     """
     routed = rows.withColumn("route", route(*keys))
-    return (
-        routed.join(F.broadcast(hot), "route", "left_semi"),
-        routed.join(F.broadcast(hot), "route", "left_anti"),
-    )
+    table = few(hot)
+    return routed.join(table, "route", "left_semi"), routed.join(table, "route", "left_anti")
 
 
 def lookup_join(
@@ -72,6 +73,6 @@ def lookup_join(
         return rows.join(table, key, "left")
     hot_rows, other_rows = (part.drop("route") for part in split_hot(rows, [key], hot))
     hot_table, other_table = (part.drop("route") for part in split_hot(table, [key], hot))
-    return hot_rows.join(F.broadcast(hot_table), key, "left").unionByName(
+    return hot_rows.join(few(hot_table), key, "left").unionByName(
         other_rows.join(other_table, key, "left")
     )

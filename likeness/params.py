@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The defaults below are those users of the classic tools know.
+
+
 @dataclass(frozen=True)
 class MinHashParams:
     """Options of the MinHash job.

@@ -5,29 +5,31 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from likeness.operators import buckets as B
 from likeness.operators import clusters as C
 from likeness.operators.minhash import signatures, with_minhash
 from likeness.operators.sentences import candidates
-from likeness.operators.skew import GROUP_ROWS, hot_routes
+from likeness.operators.skew import GROUP_ROWS, hot_routes, route_counts
 from likeness.params import MinHashParams
-from likeness.plans.staging import spread, stage
+from likeness.plans.staging import shuffle_tasks, stage
 
 
 def minhash_vectors(
     documents: DataFrame, params: MinHashParams = MinHashParams(), family: str = "multiply_shift"
 ) -> DataFrame:
     """``(doc_id, ord, sentence, mh)`` of the sentences within bounds; lazy."""
-    return with_minhash(candidates(spread(documents), params), params, family)
+    return with_minhash(candidates(documents, params), params, family)
 
 
 class BucketJob:
     """Buckets of one corpus, with the hashing done and written once.
 
     Splitting and hashing cost far more than reading their result back, and
-    three passes need it: the search for hot buckets, the bucket shuffle, and
-    the join that brings the text back.
+    three passes need it: the counts of signatures, the bucket shuffle, and the
+    join that brings the text back. Every staged sentence has a row number, so
+    document ids may repeat.
     """
 
     def __init__(
@@ -38,20 +40,26 @@ class BucketJob:
     ):
         self.params = params
         self.group_rows = group_rows
-        self.vectors = stage(minhash_vectors(documents, params), "minhash")
+        numbered = minhash_vectors(documents, params).withColumn(
+            "row", F.monotonically_increasing_id()
+        )
+        self.vectors = stage(numbered, "minhash")
 
     def signatures(self) -> DataFrame:
         return signatures(self.vectors, self.params)
 
     @cached_property
-    def hot(self) -> DataFrame | None:
-        """Routes of the buckets too large for one task, if there can be any."""
-        total = self.vectors.count() * self.params.draws
-        return hot_routes(self.signatures(), B.KEYS, total, self.group_rows)
+    def shared(self) -> DataFrame:
+        """``(route, n)`` of the signatures that more than one row may have."""
+        counts = route_counts(self.signatures(), B.KEYS)
+        return stage(counts.filter("n > 1"), "shared_routes")
 
     def members(self) -> DataFrame:
-        """``(draw, sig, doc_id, ord, bucket_size, hub_doc, hub_ord)`` of shared buckets."""
-        return B.bucket_members(self.signatures(), self.hot)
+        """``(draw, sig, doc_id, ord, row, bucket_size, hub_doc, hub_ord)`` of shared buckets."""
+        rows = B.shared_rows(self.signatures(), self.shared.select("route"))
+        total = self.shared.agg(F.sum("n")).first()[0] or 0
+        tasks = shuffle_tasks(self.vectors.sparkSession, total)
+        return B.bucket_members(rows, hot_routes(self.shared, self.group_rows), tasks)
 
     def member_sentences(self) -> DataFrame:
         """The members with their text."""
@@ -72,6 +80,7 @@ def clusters(
     The edges are written once and counted: fewer than ``max_neighbours`` of
     them make no large node. Otherwise the large nodes (at most total /
     max_neighbours) are counted too, and broadcast up to ``broadcast_nodes``.
+    The rows are the same on every way, one for each node unless it is large.
     """
     staged = stage(edges, "edges")
     total = staged.count()
@@ -80,5 +89,5 @@ def clusters(
     large = stage(C.large_nodes(staged, max_neighbours), "large_nodes")
     if large.count() <= broadcast_nodes:
         return C.clusters_in_parts(staged, large, max_neighbours)
-    hot = hot_routes(staged, ["src"], total, group_rows)
-    return C.clusters_in_parts(staged, large, max_neighbours, False, hot)
+    counts = stage(route_counts(staged, ["src"]).filter(F.col("n") > group_rows), "hot_nodes")
+    return C.clusters_in_parts(staged, large, max_neighbours, False, hot_routes(counts, group_rows))

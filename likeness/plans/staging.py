@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SETTING = "spark.checkpoint.dir"
-_own_folder: str | None = None
+_CHECKPOINTS = "spark.checkpoint.dir"
+_WAREHOUSE = "spark.sql.warehouse.dir"
+# Rows of a few dozen bytes that one shuffle task sorts with ease.
+TASK_ROWS = 5_000_000
 
+_open_scopes: list[list[str]] = []
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints.
 
-    Only where none is named, as in tests on one machine, a temporary folder
-    takes its place.
-    """
-    global _own_folder
-    named = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints, else one in the warehouse."""
+    named = spark.conf.get(_CHECKPOINTS, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that all executors share")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="likeness-")
-    return _own_folder
+    warehouse = spark.conf.get(_WAREHOUSE, None)
+    if not warehouse:
+        raise ValueError(f"set {_CHECKPOINTS} to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_likeness_staging"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/likeness-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_folder(spark)}/likeness-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(folder)
+    return f"{folder}/{name}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system it is in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged inside.
+
+    For jobs that have written their results by then: frames that still read
+    staged files cannot be used afterwards.
+    """
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _open_scopes.pop():
+            delete(spark, folder)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -37,21 +60,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage, so that a lost executor repeats reads and not the work
     above them, and gives later steps column pruning and exact row counts.
-    The files stay until the folder's own retention takes them: the returned
-    frame reads them lazily.
+    Outside a ``staging`` block the files stay until the folder's own retention
+    takes them: the returned frame reads them lazily.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share rows out when the scan has fewer partitions than there are cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Share rows out when a file scan has fewer partitions than there are cores.
 
-    Only the case of an input of a few row groups; a large input has more
-    partitions than cores and passes through without a shuffle.
+    For plain scans only: asking a frame with shuffles for its partitions would
+    run them. A large input has more partitions than cores and passes through.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
+
+
+def shuffle_tasks(spark: SparkSession, rows: int, task_rows: int = TASK_ROWS) -> int:
+    """Partitions for a shuffle of so many rows, the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // task_rows))
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Run what is inside with so many shuffle partitions."""
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    if partitions is not None:
+        spark.conf.set(setting, str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
