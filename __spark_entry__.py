@@ -16,15 +16,13 @@ import oracle_sql as sql
 from likeness.functions.text import clean_tokens
 from likeness.operators import minhash as mh
 from likeness.operators.buckets import bucket_sizes
+from likeness.operators.clusters import pair_edges
 from likeness.operators.projection import signature_bits
 from likeness.operators.sentences import length_filter, sentences, shingle_counts
 from likeness.params import MinHashParams, ProjectionParams
+from likeness.plans import jobs
 from likeness.plans.minhash import BucketJob, clusters, minhash_vectors
-from likeness.plans.projection import (
-    projection_edges,
-    projection_neighbours,
-    projection_signatures,
-)
+from likeness.plans.projection import projection_neighbours, projection_signatures
 from likeness.plans.staging import fresh_path, spread, stage
 from likeness.plans.vectors import projection_input, sentence_vectors
 from likeness.sources import text as files
@@ -46,20 +44,25 @@ EMBEDDINGS = ProjectionParams(vec_len=64, threshold=35)
 # Word vectors are derived from the words of the documents.
 WORD_DIMS = 32
 SENTENCE_POINTS = ProjectionParams(vec_len=WORD_DIMS)
+ALL_POINTS = ProjectionParams(vec_len=WORD_DIMS, rounds=2, keep_zero_vectors=True)
+# Limits that send part of the small tables down the ways for large ones.
+HOT_ROWS = 20
+PART_MEMBERS = 3
+ROUND_ROWS, CELL_ROWS = 100, 64
+SLICE_BYTES = 512 << 10
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vec")
-    )
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return spread(table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
 
 
 def all_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences(spread(documents(spark, sf_dir)))
+    return sentences(documents(spark, sf_dir))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +117,8 @@ def q_minhash_signatures(spark, sf_dir):
     return with_signature_text(mh.signatures(vectors(spark, sf_dir), MINHASH))
 
 
-def q_minhash_buckets(spark, sf_dir):
-    job = BucketJob(documents(spark, sf_dir), MINHASH)
+def q_minhash_buckets(spark, sf_dir, **limits):
+    job = BucketJob(documents(spark, sf_dir), MINHASH, **limits)
     return with_signature_text(job.member_sentences()).select(
         "draw", "sig", "doc_id", "ord", "bucket_size", "sentence"
     )
@@ -133,6 +136,16 @@ def q_neighbour_clusters(spark, sf_dir):
     return clusters(BucketJob(documents(spark, sf_dir), MINHASH).edges())
 
 
+def q_neighbour_clusters_parts(spark, sf_dir):
+    """Clusters in small parts, put together again."""
+    edges = BucketJob(documents(spark, sf_dir), MINHASH).edges()
+    parts = clusters(edges, PART_MEMBERS, broadcast_nodes=0, group_rows=HOT_ROWS)
+    members = F.array_remove(F.flatten(F.collect_list(F.split("members", ", "))), "")
+    return parts.groupBy("node").agg(
+        F.first("size").alias("size"), F.array_join(F.array_sort(members), ", ").alias("members")
+    )
+
+
 # -- random projection -------------------------------------------------------
 
 
@@ -142,12 +155,12 @@ def q_rp_signatures(spark, sf_dir):
     )
 
 
-def q_rp_neighbours(spark, sf_dir):
-    return projection_neighbours(embeddings(spark, sf_dir), EMBEDDINGS)
+def q_rp_neighbours(spark, sf_dir, **limits):
+    return projection_neighbours(embeddings(spark, sf_dir), EMBEDDINGS, **limits)
 
 
 def q_rp_clusters(spark, sf_dir):
-    return clusters(projection_edges(q_rp_neighbours(spark, sf_dir)))
+    return clusters(pair_edges(q_rp_neighbours(spark, sf_dir)))
 
 
 # -- tokens and sentence vectors ---------------------------------------------
@@ -159,9 +172,9 @@ def q_clean_tokens(spark, sf_dir):
     )
 
 
-def word_means(spark, sf_dir):
+def word_means(spark, sf_dir, **limits):
     rows = all_sentences(spark, sf_dir)
-    return sentence_vectors(rows, stage(word_table(rows), "words"), WORD_DIMS)
+    return sentence_vectors(rows, stage(word_table(rows), "words"), WORD_DIMS, **limits)
 
 
 def micros(vec):
@@ -170,8 +183,8 @@ def micros(vec):
     return F.array_join(whole, ",")
 
 
-def q_sentence_vectors(spark, sf_dir):
-    return word_means(spark, sf_dir).withColumn("vec", micros(F.col("vec")))
+def q_sentence_vectors(spark, sf_dir, **limits):
+    return word_means(spark, sf_dir, **limits).withColumn("vec", micros(F.col("vec")))
 
 
 def q_sentence_vector_neighbours(spark, sf_dir):
@@ -179,6 +192,14 @@ def q_sentence_vector_neighbours(spark, sf_dir):
     return projection_neighbours(points, SENTENCE_POINTS)
 
 
+def q_sentence_signatures(spark, sf_dir):
+    """Signatures of all sentences, those without a known word among them."""
+    points = projection_input(word_means(spark, sf_dir))
+    return projection_signatures(points, ALL_POINTS).withColumn(
+        "sig", signature_bits(F.col("sig"), ALL_POINTS)
+    )
+
+
 # -- text formats ------------------------------------------------------------
 
 
@@ -223,6 +244,62 @@ def q_pair_text_roundtrip(spark, sf_dir):
     return files.read_pairs(spark, path)
 
 
+def q_cluster_text_roundtrip(spark, sf_dir):
+    path = fresh_path(spark, "clusters")
+    files.write_clusters(q_neighbour_clusters(spark, sf_dir), path)
+    return files.read_clusters(spark, path)
+
+
+# -- whole jobs, files to files ----------------------------------------------
+
+
+def bucket_lines(spark, sf_dir):
+    articles, buckets = fresh_path(spark, "articles"), fresh_path(spark, "buckets")
+    files.write_articles(documents(spark, sf_dir), articles)
+    jobs.minhash_job(spark, articles, buckets, MINHASH, partitions=4)
+    return buckets
+
+
+def q_minhash_file_job(spark, sf_dir):
+    return files.read_buckets(spark, bucket_lines(spark, sf_dir))
+
+
+def q_bucket_cluster_file_job(spark, sf_dir):
+    path = fresh_path(spark, "clusters")
+    jobs.cluster_job(spark, bucket_lines(spark, sf_dir), path, "buckets", 4, group_rows=HOT_ROWS)
+    return files.read_clusters(spark, path)
+
+
+def pair_lines(spark, sf_dir):
+    vectors, pairs = fresh_path(spark, "vectors"), fresh_path(spark, "pairs")
+    rows = embeddings(spark, sf_dir).select(F.col("id").alias("doc_id"), F.lit(0).alias("ord"), "vec")
+    files.write_vectors(rows.limit(0), vectors)
+    files.write_vectors(rows, vectors)  # replaces what is there
+    jobs.projection_job(spark, vectors, pairs, EMBEDDINGS, partitions=4)
+    return pairs
+
+
+def q_projection_file_job(spark, sf_dir):
+    return files.read_pairs(spark, pair_lines(spark, sf_dir))
+
+
+def q_pair_cluster_file_job(spark, sf_dir):
+    path = fresh_path(spark, "clusters")
+    jobs.cluster_job(spark, pair_lines(spark, sf_dir), path, "pairs", 4)
+    return files.read_clusters(spark, path)
+
+
+def q_sentence_vector_file_job(spark, sf_dir):
+    table, words, vectors = (fresh_path(spark, name) for name in ("table", "words", "vectors"))
+    rows = all_sentences(spark, sf_dir)
+    files.write_sentence_table(
+        rows.select("doc_id", F.col("ord").alias("page_id"), F.col("sentence").alias("text")), table
+    )
+    word_table(rows).write.parquet(words)
+    jobs.sentence_vector_job(spark, table, words, vectors, WORD_DIMS, partitions=4)
+    return files.read_vectors(spark, vectors, WORD_DIMS).withColumn("vec", micros(F.col("vec")))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Sentences that share a MinHash bucket, with their text."""
     return q_minhash_buckets(spark, SMOKE_DIR)
@@ -254,6 +331,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bucket_text_roundtrip": q_bucket_text_roundtrip,
         "edge_text_roundtrip": q_edge_text_roundtrip,
         "pair_text_roundtrip": q_pair_text_roundtrip,
+        "cluster_text_roundtrip": q_cluster_text_roundtrip,
+        "minhash_buckets_hot": partial(q_minhash_buckets, group_rows=HOT_ROWS),
+        "neighbour_clusters_parts": q_neighbour_clusters_parts,
+        "rp_neighbours_cells": partial(q_rp_neighbours, round_rows=ROUND_ROWS, cell_rows=CELL_ROWS),
+        "sentence_vectors_large": partial(q_sentence_vectors, broadcast_bytes=SLICE_BYTES),
+        "sentence_signatures": q_sentence_signatures,
+        "minhash_file_job": q_minhash_file_job,
+        "bucket_cluster_file_job": q_bucket_cluster_file_job,
+        "projection_file_job": q_projection_file_job,
+        "pair_cluster_file_job": q_pair_cluster_file_job,
+        "sentence_vector_file_job": q_sentence_vector_file_job,
         **(llm.QUERIES if llm else {}),
     }
 
@@ -262,6 +350,17 @@ def oracle_sql() -> dict[str, str]:
     p = MINHASH
     embedding_pairs = sql.pairs(EMBEDDINGS, sql.bits(EMBEDDINGS, sql.EMBEDDINGS))
     points = sql.sentence_vectors(WORD_DIMS) + sql.bits(SENTENCE_POINTS, sql.SENTENCE_POINTS)
+    every_point = sql.sentence_vectors(WORD_DIMS) + sql.bits(ALL_POINTS, sql.ALL_POINTS)
+    buckets = sql.statement(
+        sql.members(p),
+        "SELECT draw, sig, m.doc_id, m.ord, bucket_size, sentence "
+        "FROM members m JOIN candidates c ON m.doc_id = c.doc_id AND m.ord = c.ord",
+    )
+    clusters_of = sql.statement(sql.edges(p), sql.CLUSTERS)
+    vectors = sql.statement(
+        sql.sentence_vectors(WORD_DIMS), f"SELECT doc_id, ord, {sql.MICROS} AS vec, n_words FROM sentence_vectors"
+    )
+    file_pairs = sql.pairs(EMBEDDINGS, sql.bits(EMBEDDINGS, sql.WRITTEN_EMBEDDINGS))
     return {
         "sentences": sql.statement(sql.SENTENCES, "SELECT doc_id, ord, sentence FROM sentences"),
         "sentence_candidates": sql.statement(
@@ -279,28 +378,27 @@ def oracle_sql() -> dict[str, str]:
         "minhash_signatures": sql.statement(
             sql.signatures(p), "SELECT draw, sig, doc_id, ord FROM signatures"
         ),
-        "minhash_buckets": sql.statement(
-            sql.members(p),
-            "SELECT draw, sig, m.doc_id, m.ord, bucket_size, sentence "
-            "FROM members m JOIN candidates c ON m.doc_id = c.doc_id AND m.ord = c.ord",
-        ),
+        "minhash_buckets": buckets,
+        "minhash_buckets_hot": buckets,
         "minhash_bucket_sizes": sql.statement(
             sql.members(p), "SELECT draw, sig, bucket_size FROM buckets"
         ),
         "star_edges": sql.statement(sql.edges(p), "SELECT src, dst FROM edges"),
-        "neighbour_clusters": sql.statement(sql.edges(p), sql.CLUSTERS),
+        "neighbour_clusters": clusters_of,
+        "cluster_text_roundtrip": clusters_of,
+        "neighbour_clusters_parts": f"SELECT node, size, members FROM ({clusters_of})",
         "rp_signatures": sql.statement(
             sql.bits(EMBEDDINGS, sql.EMBEDDINGS), "SELECT perm, id, sig FROM bits"
         ),
         "rp_neighbours": sql.statement(embedding_pairs, sql.PAIRS),
+        "rp_neighbours_cells": sql.statement(embedding_pairs, sql.PAIRS),
         "rp_clusters": sql.statement(embedding_pairs + sql.PAIR_EDGES, sql.CLUSTERS),
         "clean_tokens": sql.statement(
             sql.tokens(), "SELECT doc_id, ord, array_to_string(tokens, ' ') AS tokens FROM tokens"
         ),
-        "sentence_vectors": sql.statement(
-            sql.sentence_vectors(WORD_DIMS),
-            f"SELECT doc_id, ord, {sql.MICROS} AS vec, n_words FROM sentence_vectors",
-        ),
+        "sentence_vectors": vectors,
+        "sentence_vectors_large": vectors,
+        "sentence_signatures": sql.statement(every_point, "SELECT perm, id, sig FROM bits"),
         "sentence_vector_neighbours": sql.statement(sql.pairs(SENTENCE_POINTS, points), sql.PAIRS),
         "article_text_roundtrip": r"SELECT doc_id::VARCHAR AS doc_id, "
         r"regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM documents",
@@ -317,6 +415,20 @@ def oracle_sql() -> dict[str, str]:
             "SELECT rtrim(sig, ']') AS sig, doc_id::VARCHAR AS doc_id, ord FROM members",
         ),
         "edge_text_roundtrip": sql.statement(sql.edges(p), "SELECT src, dst FROM edges"),
+        "minhash_file_job": sql.on_articles(
+            sql.statement(
+                sql.members(p),
+                "SELECT rtrim(sig, ']') AS sig, doc_id::VARCHAR AS doc_id, ord FROM members",
+            )
+        ),
+        "bucket_cluster_file_job": sql.on_articles(
+            sql.statement(sql.members(p) + sql.LINE_EDGES, sql.CLUSTERS)
+        ),
+        "projection_file_job": sql.statement(file_pairs, "SELECT dist, id_a, id_b FROM pairs"),
+        "pair_cluster_file_job": sql.statement(file_pairs + sql.PAIR_EDGES, sql.CLUSTERS),
+        "sentence_vector_file_job": sql.statement(
+            sql.sentence_vectors(WORD_DIMS) + [sql.WRITTEN_SENTENCES], f"SELECT id, {sql.MICROS} AS vec FROM written"
+        ),
         "pair_text_roundtrip": sql.statement(
             embedding_pairs,
             "SELECT dist, id_a::VARCHAR AS id_a, id_b::VARCHAR AS id_b FROM pairs",

@@ -187,7 +187,7 @@ def edges(p: MinHashParams) -> list[str]:
 
 
 CLUSTERS = """SELECT src AS node, (count(DISTINCT dst) + 1)::BIGINT AS size, 0 AS part,
-       array_to_string(list_sort(list_append(list(DISTINCT dst), src)), ', ') AS members
+       1 AS parts, array_to_string(list_sort(list_append(list(DISTINCT dst), src)), ', ') AS members
 FROM edges GROUP BY src"""
 
 
@@ -207,11 +207,12 @@ def bits(p: ProjectionParams, vectors_cte: str) -> list[str]:
         f"planes(i, plane) AS (VALUES {planes})",
         f"orders(perm, places) AS (VALUES {orders})",
         "reordered AS (SELECT perm, id, list_select(vec, places) AS vec FROM v, orders)",
-        """bits AS (
+        "all_planes AS (SELECT list(plane::DOUBLE[] ORDER BY i) AS all_planes FROM planes)",
+        """bits AS MATERIALIZED (
   SELECT perm::INTEGER AS perm, id,
-         string_agg(CASE WHEN list_dot_product(vec, plane::DOUBLE[]) >= 0 THEN '1' ELSE '0' END,
-                    '' ORDER BY i) AS sig
-  FROM reordered, planes GROUP BY perm, id)""",
+         array_to_string(list_transform(all_planes,
+             lambda plane: CASE WHEN list_dot_product(vec, plane) >= 0 THEN '1' ELSE '0' END), '') AS sig
+  FROM reordered, all_planes)""",
     ]
 
 
@@ -233,6 +234,9 @@ EMBEDDINGS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddi
 # Text files carry ten decimals.
 WRITTEN = """written AS (
   SELECT id, list_transform(vec, lambda x: printf('%.10f', x)::DOUBLE) AS vec FROM v)"""
+WRITTEN_EMBEDDINGS = """v AS (
+  SELECT vec_id || ':0' AS id, list_transform(embedding, lambda x: printf('%.10f', x::DOUBLE)::DOUBLE) AS vec
+  FROM embeddings)"""
 PAIRS = "SELECT perm, dist, id_a, id_b FROM pairs"
 PAIR_EDGES = [
     """edges AS (
@@ -241,6 +245,23 @@ PAIR_EDGES = [
 ]
 
 
+# A bucket line knows its signature and not its draw; ids in files are text.
+LINE_EDGES = [
+    """lines AS (SELECT DISTINCT sig, doc_id::VARCHAR AS doc_id, ord FROM members)""",
+    """line_hubs AS (SELECT sig, min((doc_id, ord)) AS hub FROM lines GROUP BY sig)""",
+    """spokes AS (
+  SELECT DISTINCT hub[1] || ':' || hub[2] AS src, doc_id || ':' || ord AS dst
+  FROM lines JOIN line_hubs USING (sig) WHERE hub <> (doc_id, ord))""",
+    """edges AS (SELECT src, dst FROM spokes UNION SELECT dst, src FROM spokes)""",
+]
+
+
+def on_articles(sql: str) -> str:
+    """The statement over documents as article lines hold them."""
+    lines = r"(SELECT doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM documents)"
+    return sql.replace("FROM documents", f"FROM {lines}")
+
+
 # -- tokens and sentence vectors ---------------------------------------------
 
 
@@ -293,3 +314,7 @@ MICROS = "array_to_string(list_transform(vec, lambda x: round(x * 1000000)::BIGI
 SENTENCE_POINTS = """v AS (
   SELECT doc_id || ':' || ord AS id, vec FROM sentence_vectors
   WHERE len(list_filter(vec, lambda x: x <> 0)) > 0)"""
+ALL_POINTS = "v AS (SELECT doc_id || ':' || ord AS id, vec FROM sentence_vectors)"
+WRITTEN_SENTENCES = """written AS (
+  SELECT doc_id || ':' || ord AS id, list_transform(vec, lambda x: printf('%.10f', x)::DOUBLE) AS vec
+  FROM sentence_vectors)"""
