@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from likeness.operators import buckets as B
 from likeness.operators.minhash import signatures, with_minhash
-from likeness.operators.skew import hot_routes, route
+from likeness.operators.skew import hot_routes, route, route_counts
 from likeness.params import MinHashParams
 from likeness.plans.minhash import BucketJob, clusters
 
@@ -49,26 +49,57 @@ def test_buckets_of_one_are_dropped(spark):
     assert rows(B.bucket_sizes(df).select("draw", "bucket_size")) == {(0, 3): 1}
 
 
+def hot_keys(df, group_rows):
+    return hot_routes(route_counts(df, B.KEYS), group_rows)
+
+
 def test_hot_buckets_give_the_same_rows(spark, skewed):
     df = spark.createDataFrame(skewed, SIGS)
-    hot = hot_routes(df, B.KEYS, len(skewed), group_rows=100)
-    found = {r[0] for r in hot.collect()}
+    hot = hot_keys(df, 100)
     big = df.filter("sig[0] = 5 and sig[1] = 5").select(route(*B.KEYS)).distinct()
-    assert {r[0] for r in big.collect()} <= found and len(found) <= len(skewed) / 100
-    members = B.bucket_members(df, hot)
+    assert rows(hot) == rows(big)
+    members = B.bucket_members(df, hot, tasks=7)
     assert as_set(members) == as_set(B.bucket_members(df)) == brute_members(skewed)
 
 
+def test_counts_meet_in_no_single_task(spark, skewed):
+    df = spark.createDataFrame(skewed, SIGS).repartition(16)
+    counts = route_counts(df, B.KEYS)
+    plan = plan_text(counts)
+    assert "SinglePartition" not in plan and "partial_count" in plan
+    assert counts.count() == len({(r[0], tuple(r[1])) for r in skewed})
+
+
 def test_hot_bucket_rows_are_not_shuffled(spark, skewed):
+    """Every shuffle of the hot plan carries sums of it, or rows without hot keys."""
+    df = spark.createDataFrame(skewed, SIGS)
+    found = B.bucket_members(df, hot_keys(df, 100))
+    lines = plan_text(found).split("== Physical Plan ==")[1].splitlines()
+    for number, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            depth = line.index("Exchange")
+            below = [x for x in lines[number + 1 :]]
+            end = next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :|+-")) <= depth - 3), len(below))
+            under = "\n".join(below[:end])
+            assert "partial_" in under or "LeftAnti" in under
+
+
+def test_small_inputs_have_no_hot_keys(spark):
+    df = spark.createDataFrame([(0, [1], 1, 0)], SIGS)
+    assert hot_keys(df, 1) is None
+
+
+def test_rows_of_buckets_of_one_stay_out(spark, skewed):
     df = spark.createDataFrame(skewed, SIGS)
-    hot = hot_routes(df, B.KEYS, len(skewed), group_rows=100)
-    plan = plan_text(B.bucket_members(df, hot))
-    assert "partial_count" in plan and "LeftAnti" in plan
+    shared = route_counts(df, B.KEYS).filter("n > 1").select("route")
+    kept = B.shared_rows(df, shared)
+    assert kept.count() < df.count() and as_set(B.bucket_members(kept)) == brute_members(skewed)
 
 
-def test_small_inputs_look_for_no_hot_keys(spark):
-    df = spark.createDataFrame([(0, [1], 1, 0)], SIGS)
-    assert hot_routes(df, B.KEYS, 1) is None
+def test_repeated_document_ids(spark):
+    text = "This very same sentence turns up in several documents of the corpus, word for word, again and again."
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id bigint, text string")
+    assert BucketJob(docs).member_sentences().count() == 30
 
 
 def test_any_false_alarm_is_harmless(spark, skewed):
@@ -115,8 +146,10 @@ def test_clusters_in_parts_hold_the_same_members(documents, limits):
     for r in clusters(edges, max_neighbours=1, **limits).collect():
         parts.setdefault((r["node"], r["size"]), []).append(r)
     assert max(len(p) for p in parts.values()) > 1
+    for found in parts.values():
+        assert sorted(r["part"] for r in found) == list(range(found[0]["parts"]))
     assert whole == {
-        (node, size, ", ".join(sorted(m for r in p for m in r["members"].split(", "))))
+        (node, size, ", ".join(sorted(m for r in p for m in r["members"].split(", ") if m)))
         for (node, size), p in parts.items()
     }
 

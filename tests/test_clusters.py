@@ -25,9 +25,9 @@ def test_star_edges_and_one_hop_clusters(spark):
         ("3:0", "1:0"): 1,
     }
     assert rows(one_hop_clusters(edges)) == {
-        ("1:0", 3, 0, "1:0, 2:0, 3:0"): 1,
-        ("2:0", 2, 0, "1:0, 2:0"): 1,
-        ("3:0", 2, 0, "1:0, 3:0"): 1,
+        ("1:0", 3, 0, 1, "1:0, 2:0, 3:0"): 1,
+        ("2:0", 2, 0, 1, "1:0, 2:0"): 1,
+        ("3:0", 2, 0, 1, "1:0, 3:0"): 1,
     }
 
 
