@@ -56,8 +56,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and digests of ids and decoded text."""
-    encoded = bpe.encode(docs, TOKENIZER)
-    return encoded.select(
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER)
+    return bpe.decode(encoded.drop("text"), TOKENIZER).select(
         "doc_id",
         "lang",
         "source",

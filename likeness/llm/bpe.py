@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from likeness.llm import bpe_kernel as kernel
 
@@ -15,48 +17,39 @@ def tables(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(kernel.Tables(Path(path).read_text()))
 
 
-def encoder(shared):
-    """Column function: text to ids, as little-endian unsigned 32-bit integers."""
-
-    def batch(texts):
-        return kernel.encode_batch(texts, shared)
-
-    return F.arrow_udf(batch, "binary")
-
-
-def decoder(shared):
-    """Column function: ids, as the encoder gives them, to text."""
-
-    def batch(ids):
-        return kernel.decode_batch(ids, shared)
-
-    return F.arrow_udf(batch, "string")
+def _with_column(rows: DataFrame, name: str, kind: T.DataType, work) -> DataFrame:
+    kept = rows.drop(name)
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField(name, kind)]))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Add ``ids``, ``n_tokens`` and ``decoded`` to every row of ``docs``.
-
-    Ids are those of the tokenizer file at ``path`` without added special
-    tokens; the texts of special tokens inside a text become their ids.
-    ``decoded`` joins the token texts by a space, as a file without a decoder
-    asks for. Null and empty texts have no tokens and decode to an empty text.
-    Rows stay apart however often they repeat; of the other columns only
-    ``ids``, ``n_tokens`` and ``decoded`` are replaced.
+    """Add ``ids`` and ``n_tokens`` to every row of ``docs``.
+
+    ``ids`` are little-endian unsigned 32-bit integers: those of the tokenizer
+    file at ``path`` without added special tokens; the texts of special tokens
+    inside a text become their ids. Null and empty texts have none. Rows stay
+    apart however often they repeat; other columns stay, but for the two added.
     """
     shared = tables(docs.sparkSession, path)
-    encoded = docs.withColumn("ids", encoder(shared)(F.col(text)))
-    return encoded.withColumns(
-        {"n_tokens": token_count(F.col("ids")), "decoded": decoder(shared)(F.col("ids"))}
-    )
+    work = partial(kernel.encode_batches, shared=shared, text=text)
+    encoded = _with_column(docs.drop("n_tokens"), "ids", T.BinaryType(), work)
+    return encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
 
 
-def token_count(ids: Column) -> Column:
-    return F.octet_length(ids).cast("bigint").__truediv__(4).cast("bigint")
+def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """Add ``decoded``: the texts of the tokens joined by a space.
+
+    That is what a tokenizer file without a decoder asks for; special tokens
+    are shown. No ids, or null, give an empty text.
+    """
+    work = partial(kernel.decode_batches, shared=tables(encoded.sparkSession, path), ids=ids)
+    return _with_column(encoded, "decoded", T.StringType(), work)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """The digest form of ``encode``: one row per document."""
-    return encoded.select(
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """The digest form of ``encode`` and ``decode``: one row per document."""
+    rows = decode(encoded.select("doc_id", "n_tokens", "ids"), path)
+    return rows.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

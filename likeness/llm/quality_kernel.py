@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Distinct words a task counts before it passes its counts on.
-HELD_WORDS = 500_000
+HELD_WORDS = 250_000
 LANGUAGES_HELD = 1_000
 
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "stop", "other", "beyond")

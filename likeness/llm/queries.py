@@ -70,7 +70,7 @@ def op6_warc(spark, sf_dir):
 
 def op7_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.encode(docs, TOKENIZER))
+    return bpe.digests(bpe.encode(docs, TOKENIZER), TOKENIZER)
 
 
 def op8_pii(spark, sf_dir):

@@ -39,9 +39,9 @@ def test_edges(spark):
     long = "word's " * 50_000
     rows = [(1, "the end", 0), (1, "the end", 0), (2, None, 0), (3, "", 0), (None, long, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
-    got = bpe.encode(df, PATH).collect()
+    got = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert len(got) == 5
     counts = {r.text: r.n_tokens for r in got}
     assert counts == {"the end": 2, None: 0, "": 0, long: 100_000}
     assert {r.decoded for r in got if not r.text} == {""}
-    assert bpe.digests(bpe.encode(df.limit(0), PATH)).count() == 0
+    assert bpe.digests(bpe.encode(df.limit(0), PATH), PATH).count() == 0
