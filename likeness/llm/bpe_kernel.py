@@ -27,9 +27,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Stands for the end-of-word mark inside byte strings; no UTF-8 text has it.
 END = b"\xff"
-# Words, and runs of text without white space, that a task keeps from the
-# latest texts and, once more, from those before: some 100 bytes each.
-CACHED = 120_000
+# Words that a task keeps from the latest texts and, once more, from those
+# before: some 170 bytes each.
+CACHED = 400_000
+CACHED_PAIRS = 500_000
 
 # Unicode white space, as the pre-tokenizer's \s takes it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -37,8 +38,6 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 WORD = regex.compile(
     rf"\p{{L}}+|\p{{N}}|'(?:s|t|re|ve|m|ll|d)|[^{SPACE}\p{{L}}\p{{N}}]+"
 )
-# str.split() takes these for white space, the pattern does not.
-NO_SPACE = regex.compile(r"[\x1c-\x1f]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -139,8 +138,6 @@ class Codec:
         count = len(tables.offsets) - 1
         self.size = [len(tables.bytes_of.get(i, b"")) for i in range(count)]
         self.shorter = [tables.shorter.get(i) for i in range(count)]
-        self.known: dict[str, bytes] = {}
-        self.known_before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.words_before: dict[str, bytes] = {}
         self.border: dict[int, bool] = {}  # by left << 32 | right
@@ -148,7 +145,7 @@ class Codec:
         self.special = regex.compile("(" + "|".join(marks) + ")") if marks else None
 
     def fits(self, pair: int) -> bool:
-        if len(self.border) > 2 * CACHED:
+        if len(self.border) > CACHED_PAIRS:
             self.border.clear()
         answer = self.border[pair] = self.tables.adjacent(pair >> 32, pair & 0xFFFFFFFF)
         return answer
@@ -189,30 +186,19 @@ class Codec:
                 last = tokens[-1] if tokens else None
         return tokens
 
-    def learn(self, runs: list[str]) -> None:
-        """Encode the runs not yet known, each word of theirs once."""
-        fresh = set(runs).difference(self.known)
-        if len(self.known) + len(fresh) > CACHED:
-            self.known_before, self.known = self.known, {}
-            fresh = set(runs)
-        before = self.known_before
-        for run in fresh:
-            found = before.get(run)
-            if found is None:
-                found = b"".join(map(self.word_bytes, WORD.findall(run)))
-            self.known[run] = found
-
-    def word_bytes(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self.words_before.get(word)
+    def learn(self, words: set[str]) -> None:
+        """Encode the words not yet known."""
+        fresh = words.difference(self.words)
+        if len(self.words) + len(fresh) > CACHED:
+            self.words_before, self.words = self.words, {}
+            fresh = words
+        known, before = self.words, self.words_before.get
+        for word in fresh:
+            found = before(word)
             if found is None:
                 tokens = self.word(word)
                 found = struct.pack(f"<{len(tokens)}I", *tokens)
-            if len(self.words) > CACHED:
-                self.words_before, self.words = self.words, {}
-            self.words[word] = found
-        return found
+            known[word] = found
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -225,10 +211,9 @@ class Codec:
             if at % 2:
                 out.append(self.tables.specials[piece].to_bytes(4, "little"))
                 continue
-            piece = normalised(piece)
-            runs = [piece] if NO_SPACE.search(piece) else piece.split()
-            self.learn(runs)
-            out += map(self.known.__getitem__, runs)
+            words = WORD.findall(normalised(piece))
+            self.learn(set(words))
+            out += map(self.words.__getitem__, words)
         return b"".join(out)
 
     def text(self, ids: bytes) -> bytes:
