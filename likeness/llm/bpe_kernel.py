@@ -240,17 +240,12 @@ def normalised(text: str) -> str:
     return text.lower()
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def codec(tables) -> Codec:
-    """One codec for each broadcast and worker."""
-    value = tables.value
-    key = id(value)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(value)
-    return _codecs[key]
+def codec(shared) -> Codec:
+    """The codec of a broadcast; it stays with the tables, from task to task of a worker."""
+    tables = shared.value
+    if not hasattr(tables, "codec"):
+        tables.codec = Codec(tables)
+    return tables.codec
 
 
 # Rows worked on, and handed back, at a time.

@@ -37,8 +37,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-UP = powers(BASE, PASS_UNITS * 2)
-DOWN = powers(inverse(BASE), PASS_UNITS * 2)
+# Powers of BASE and of its inverse, made in each task and not sent to it.
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers_of(base: int) -> np.ndarray:
+    if base not in _powers:
+        _powers[base] = powers(base, PASS_UNITS * 2)
+    return _powers[base]
+
+
 BYTE_HASH = np.random.default_rng(400).integers(0, 1 << 64, 256, np.uint64)
 
 
@@ -91,8 +99,8 @@ def cut(hashes: np.ndarray, text_of: np.ndarray, window: int, gram: int):
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * UP[:n], out=sums[1:])
-    grams = mixed((sums[gram:] - sums[:-gram]) * DOWN[: n - gram + 1])
+    np.cumsum(hashes * powers_of(BASE)[:n], out=sums[1:])
+    grams = mixed((sums[gram:] - sums[:-gram]) * powers_of(inverse(BASE))[: n - gram + 1])
     # Least hash first, then leftmost place, over spans of equal length: the
     # least of a block's tail and the next block's head.
     span = window - gram + 1
