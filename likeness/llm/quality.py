@@ -17,8 +17,8 @@ MIN_REFERENCE_WORDS = 20_000
 BROADCAST_REFERENCES = 20_000
 # Largest distances of a document of n words: base + slope / sqrt(n). Short
 # texts stray further from any reference by chance alone.
-CLASS_LIMIT = (0.12, 1.6)
-WORD_LIMIT = (0.20, 1.9)
+CLASS_LIMIT = (0.17, 1.2)
+WORD_LIMIT = (0.20, 2.4)
 
 _PROFILE = "lang string, word string, cls bigint, n bigint"
 _JUDGED = (
