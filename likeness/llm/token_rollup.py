@@ -57,7 +57,8 @@ class Rollup:
     A batch is written under a temporary name and renamed in one step; a batch
     whose name is there already is left alone, so a batch may be sent again
     after any failure. Totals are sums and do not depend on the order of
-    batches. ``compact`` adds batches up in a snapshot that names them.
+    batches. ``compact`` adds batches up in a snapshot and names them beside it;
+    names of batches are all that passes the driver.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -72,12 +73,14 @@ class Rollup:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(root))
 
-    def _commit(self, rows: DataFrame, kind: str, name: str) -> bool:
+    def _commit(self, tables: dict[str, DataFrame], kind: str, name: str) -> bool:
+        """Write tables below a temporary folder and give it its name in one step."""
         final = self._path(f"{self.folder}/{kind}/{name}")
         if self._fs.exists(final):
             return False
         temporary = f"{self.folder}/_temporary/{uuid.uuid4().hex}"
-        rows.write.parquet(temporary)
+        for table, rows in tables.items():
+            rows.write.parquet(f"{temporary}/{table}")
         self._fs.mkdirs(final.getParent())
         if self._fs.exists(final):  # another writer of the same batch was faster
             self._fs.delete(self._path(temporary), True)
@@ -92,22 +95,22 @@ class Rollup:
             raise ValueError(f"{batch!r} cannot name a batch")
         if batch in self._included() or self._fs.exists(self._path(f"{self.folder}/deltas/{batch}")):
             return False
-        return self._commit(delta(changes, tokenizers or TOKENIZERS), "deltas", batch)
+        return self._commit({"totals": delta(changes, tokenizers or TOKENIZERS)}, "deltas", batch)
 
     def _included(self) -> set[str]:
         done = self._committed("snapshots")
         if not done:
             return set()
-        rows = self.spark.read.parquet(f"{self.folder}/snapshots/{done[-1]}").select("batches").limit(1).collect()
-        return set(rows[0][0]) if rows else set()
+        names = self.spark.read.parquet(f"{self.folder}/snapshots/{done[-1]}/batches")
+        return {row[0] for row in names.collect()}
 
     def _parts(self) -> list[DataFrame]:
         included, snapshots = self._included(), self._committed("snapshots")
         read = self.spark.read.schema(TOTALS)
-        parts = [read.parquet(f"{self.folder}/snapshots/{snapshots[-1]}")] if snapshots else []
+        parts = [read.parquet(f"{self.folder}/snapshots/{snapshots[-1]}/totals")] if snapshots else []
         fresh = [b for b in self._committed("deltas") if b not in included]
         if fresh:
-            parts.append(read.parquet(*(f"{self.folder}/deltas/{b}" for b in fresh)))
+            parts.append(read.parquet(*(f"{self.folder}/deltas/{b}/totals" for b in fresh)))
         return parts
 
     def totals(self) -> DataFrame:
@@ -127,6 +130,6 @@ class Rollup:
     def compact(self) -> None:
         """Write the totals so far as one snapshot; later reads start from it."""
         batches = sorted(self._included() | set(self._committed("deltas")))
+        names = self.spark.createDataFrame([(b,) for b in batches], "batch string")
         number = len(self._committed("snapshots"))
-        rows = self.totals().withColumn("batches", F.array(*map(F.lit, batches)))
-        self._commit(rows, "snapshots", f"{number:09d}")
+        self._commit({"totals": self.totals(), "batches": names}, "snapshots", f"{number:09d}")
