@@ -18,7 +18,7 @@ from likeness.llm import (
     token_rollup,
     warc,
 )
-from likeness.plans.staging import fresh_path
+from likeness.plans.staging import fresh_path, stage
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -86,23 +86,32 @@ def op9_token_rollup(spark, sf_dir):
 
     The last two batches are sent twice, as after a failure.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
+    # Counted once; what is joined with labels afterwards are counts, not texts.
+    counted = stage(
+        docs.select(
+            "doc_id",
+            "source",
+            "lang",
+            token_rollup.count_tokens(F.col("text")).alias("tokens"),
+            token_rollup.count_tokens(F.regexp_replace("text", JUNK, " ")).alias("clean_tokens"),
+        ),
+        "token_counts",
+    )
 
-    def labelled(condition):
-        return docs.join(labels.filter(condition).select("doc_id").distinct(), "doc_id", "left_semi")
+    def changes(rows, sign, tokens="tokens"):
+        return rows.select("source", "lang", F.col(tokens).alias("tokens"), F.lit(sign).alias("sign"))
 
-    def signed(rows, sign):
-        return rows.withColumn("sign", F.lit(sign))
+    def labelled(condition):
+        return counted.join(labels.filter(condition).select("doc_id").distinct(), "doc_id", "left_semi")
 
-    clean = F.regexp_replace("text", JUNK, " ")
-    poor = labelled("quality = 0 AND toxic = 0")
-    toxic = labelled("toxic = 1")
+    poor, toxic = labelled("quality = 0 AND toxic = 0"), labelled("toxic = 1")
     rollup = token_rollup.Rollup(spark, fresh_path(spark, "rollup"))
-    rollup.apply("documents", signed(docs, 1))
+    rollup.apply("documents", changes(counted, 1))
     for _ in range(2):
-        rollup.apply("cleaned", signed(poor, -1).unionByName(signed(poor.withColumn("text", clean), 1)))
-        rollup.apply("toxic", signed(toxic, -1))
+        rollup.apply("cleaned", changes(poor, -1).unionByName(changes(poor, 1, "clean_tokens")))
+        rollup.apply("toxic", changes(toxic, -1))
         rollup.compact()
     return rollup.totals()
 

@@ -19,35 +19,35 @@ TOKENIZERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def delta(changes: DataFrame, tokenizers: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Signed totals of ``changes(sign, source, lang, text)``.
-
-    ``sign`` is 1 for a document that came and -1 for one that went; a revised
-    document is both, with its old text and its new one. Null texts have no
-    tokens, null keys are keys of their own, a null sign counts for nothing.
-    Sums are made before the shuffle, so a source of a third of all rows is as
-    good as any other.
+def count_tokens(text: Column, tokenizers: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """``map<tokenizer, tokens>`` of a text; a null text has none."""
+    own = F.coalesce(text, F.lit(""))
+    pairs = (
+        part
+        for name, count in (tokenizers or TOKENIZERS).items()
+        for part in (F.lit(name), count(own).cast("bigint"))
+    )
+    return F.create_map(*pairs)
+
+
+def delta(changes: DataFrame) -> DataFrame:
+    """Signed totals of ``changes(sign, source, lang, tokens)``.
+
+    ``tokens`` comes from ``count_tokens``. ``sign`` is 1 for a document that
+    came and -1 for one that went; a revised document is both, with its old
+    counts and its new ones. Null keys are keys of their own, a null sign
+    counts for nothing and null counts are no tokens. Sums are made before the
+    shuffle, so a source of a third of all rows is as good as any other.
     """
     sign = F.coalesce(F.col("sign"), F.lit(0)).cast("bigint")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counts = [
-        F.sum(sign * count(text).cast("bigint")).alias(f"t{i}") for i, count in enumerate(tokenizers.values())
-    ]
-    wide = changes.groupBy("source", "lang").agg(F.sum(sign).alias("n_docs"), *counts)
-    long = F.explode(
-        F.array(
-            *(
-                F.struct(F.lit(name).alias("tokenizer"), F.col(f"t{i}").alias("n_tokens"))
-                for i, name in enumerate(tokenizers)
-            )
-        )
-    )
-    return wide.select("source", "lang", "n_docs", long.alias("one")).select(
+    rows = changes.select(
         F.col("source").cast("string").alias("source"),
         F.col("lang").cast("string").alias("lang"),
-        "one.tokenizer",
-        "n_docs",
-        "one.n_tokens",
+        sign.alias("sign"),
+        F.explode("tokens").alias("tokenizer", "n"),
+    )
+    return rows.groupBy(*KEYS).agg(
+        F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.coalesce("n", F.lit(0))).alias("n_tokens")
     )
 
 
@@ -89,13 +89,13 @@ class Rollup:
             raise OSError(f"cannot commit {final}")
         return True
 
-    def apply(self, batch: str, changes: DataFrame, tokenizers=None) -> bool:
-        """Commit a batch of changes; False if it was committed before."""
+    def apply(self, batch: str, changes: DataFrame) -> bool:
+        """Commit a batch of ``changes`` (see ``delta``); False if it was committed before."""
         if not batch or "/" in batch or batch[0] in "._":
             raise ValueError(f"{batch!r} cannot name a batch")
         if batch in self._included() or self._fs.exists(self._path(f"{self.folder}/deltas/{batch}")):
             return False
-        return self._commit({"totals": delta(changes, tokenizers or TOKENIZERS)}, "deltas", batch)
+        return self._commit({"totals": delta(changes)}, "deltas", batch)
 
     def _included(self) -> set[str]:
         done = self._committed("snapshots")

@@ -1,13 +1,14 @@
 from pyspark.sql import functions as F
 
-from likeness.llm.token_rollup import Rollup
+from likeness.llm.token_rollup import Rollup, count_tokens
 from likeness.plans.staging import fresh_path
 
 SCHEMA = "doc_id long, source string, lang string, text string, sign int, n_tokens int"
 
 
-def changes(spark, rows):
-    return spark.createDataFrame([(i, s, lang, t, sign, 0) for i, (s, lang, t, sign) in enumerate(rows)], SCHEMA)
+def changes(spark, rows, tokenizers=None):
+    df = spark.createDataFrame([(i, s, lang, t, sign, 0) for i, (s, lang, t, sign) in enumerate(rows)], SCHEMA)
+    return df.withColumn("tokens", count_tokens(F.col("text"), tokenizers))
 
 
 def totals(rollup):
@@ -36,5 +37,5 @@ def test_signed_batches_are_idempotent(spark):
 
 def test_own_counter(spark):
     rollup = Rollup(spark, fresh_path(spark, "rollup"))
-    rollup.apply("1", changes(spark, [("a", "en", "é" * 100_000, 1)]), {"bytes": F.octet_length})
+    rollup.apply("1", changes(spark, [("a", "en", "é" * 100_000, 1)], {"bytes": F.octet_length}))
     assert totals(rollup) == {("a", "en", "bytes"): (1, 200_000)}
