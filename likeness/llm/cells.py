@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from likeness.llm import cells_kernel as kernel
 from likeness.llm.ranks import ranked
-from likeness.llm.sizes import small
 from likeness.plans.staging import stage
 
 _CELLS = "anchor bigint, body bigint, row bigint, first int, count int"
@@ -69,7 +68,10 @@ def repeated(
         ),
         "cells",
     )
-    often = cells.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Staged, so that the join has two shuffles that can split a hot anchor.
+    often = stage(
+        cells.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors"
+    )
     shared = stage(cells.join(often, "anchor", "left_semi"), "shared_cells")
     bodies = stage(
         shared.groupBy("anchor", "body").agg(
@@ -133,7 +135,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame, unit: str, window: int) -> DataF
         ),
         "wanted_rows",
     )
-    joined = docs.select("row", "text").join(small(lists, wanted.count()), "row")
+    joined = docs.select("row", "text").join(lists, "row")
     return joined.select("row", "text", "wanted").mapInArrow(
         partial(kernel.body_batches, unit=unit, window=window), _BODIES
     )
@@ -157,14 +159,13 @@ def _by_digest(texts: DataFrame, unit: str, window: int, first_stays: bool) -> D
 def cut_out(docs: DataFrame, marks: DataFrame, unit: str) -> DataFrame:
     """``(doc_id, n, spans, kept)`` for every row of ``docs(row, doc_id, text)``."""
     held = stage(marks, "marks")
-    n = held.agg(F.sum(F.size("marks"))).first()[0] or 0
 
     def batch(texts, found):
         return kernel.cut_batch(texts, found, unit)
 
     cut = F.arrow_udf(batch, f"struct<n:bigint,spans:{_SPANS},kept:binary>")
     return (
-        docs.join(small(held, n), "row", "left")
+        docs.join(held, "row", "left")
         .withColumn("_cut", cut(F.col("text"), F.col("marks")))
         .select("doc_id", "_cut.n", "_cut.spans", "_cut.kept")
     )
