@@ -13,7 +13,7 @@ WINDOW = 400
 GRAM = 128
 # Different cells of an anchor that still go to one task, about half a KB each.
 GROUP_CELLS = 8_000
-TASK_BYTES = 4 << 20
+TASK_BYTES = 2 << 20
 
 
 def remove_repeats(

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Units hashed in one numpy pass. Places take PLACE_BITS of a 64-bit key.
-PASS_UNITS = 1 << 21
+PASS_UNITS = 1 << 19
 PLACE_BITS = 24
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 BASE = 0x9E3779B97F4A7C15  # any odd number
@@ -181,19 +181,24 @@ def cell_batches(batches, unit: str, window: int, gram: int):
         yield run()
 
 
+# Bodies handed on at a time.
+BODY_ROWS = 4_000
 BODIES = pa.schema([*CELLS, ("alone", pa.bool_()), ("text", pa.binary())])
 
 
 def body_batches(batches, unit: str, window: int):
     """Bodies of wanted cells: ``(row, text, wanted)`` to one row for each."""
+    rows: list[dict] = []
     for batch in batches:
-        rows = []
         for row, text, wanted in zip(*(batch.column(i) for i in range(3))):
             units = UNITS[unit](text.as_py())
             for cell in wanted.as_py():
                 end = cell["first"] + cell["count"] + window - 1
                 rows.append(cell | {"row": row.as_py(), "text": units.body(cell["first"], end)})
-        yield pa.RecordBatch.from_pylist(rows, BODIES)
+                if len(rows) == BODY_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, BODIES)
+                    rows = []
+    yield pa.RecordBatch.from_pylist(rows, BODIES)
 
 
 WINDOWS = pa.schema([("window", pa.binary()), ("row", pa.int64()), ("at", pa.int32()), ("alone", pa.bool_())])

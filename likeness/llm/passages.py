@@ -13,7 +13,7 @@ GRAM = 6
 # Different cells of an anchor that still go to one task, about 25 words each.
 GROUP_CELLS = 2_000
 # Words of a reference shard; its automaton takes about half a KB for each.
-SHARD_WORDS = 100_000
+SHARD_WORDS = 50_000
 
 
 def remove_repeats(
