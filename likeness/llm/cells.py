@@ -62,17 +62,20 @@ def repeated(
     their windows are compared by digest through a shuffle instead, which
     spreads them whatever the anchor.
     """
-    cells = stage(
-        docs.select("row", "text").mapInArrow(
-            partial(kernel.cell_batches, unit=unit, window=window, gram=gram), _CELLS
-        ),
-        "cells",
-    )
-    # Staged, so that the join has two shuffles that can split a hot anchor.
+    cut = partial(kernel.cell_batches, unit=unit, window=window, gram=gram)
+    texts = docs.select("row", "text")
+    # Cells are cut twice and not written: they would take as much disk as the
+    # texts, and cutting them again costs less. The anchors are staged, so that
+    # the join has two shuffles that can split a hot one.
     often = stage(
-        cells.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors"
+        texts.mapInArrow(partial(cut, anchors_only=True), "anchor bigint")
+        .groupBy("anchor")
+        .agg(F.count("*").alias("n"))
+        .filter("n > 1")
+        .select("anchor"),
+        "anchors",
     )
-    shared = stage(cells.join(often, "anchor", "left_semi"), "shared_cells")
+    shared = stage(texts.mapInArrow(cut, _CELLS).join(often, "anchor", "left_semi"), "shared_cells")
     bodies = stage(
         shared.groupBy("anchor", "body").agg(
             F.count("*").alias("n"), F.min(F.struct("row", "first", "count")).alias("at")

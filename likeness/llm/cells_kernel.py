@@ -131,8 +131,8 @@ CELLS = pa.schema(
 )
 
 
-def cell_batches(batches, unit: str, window: int, gram: int):
-    """Cells of ``(row, text)``: anchor, digest of the cell's units, place."""
+def cell_batches(batches, unit: str, window: int, gram: int, anchors_only: bool = False):
+    """Cells of ``(row, text)``: anchor, digest of the cell's units, place; or just anchors."""
     held: list[tuple[int, int, object, np.ndarray]] = []
     size = 0
 
@@ -141,6 +141,8 @@ def cell_batches(batches, unit: str, window: int, gram: int):
         offsets = np.cumsum([0, *lengths])
         text_of = np.repeat(np.arange(len(held)), lengths)
         first, count, anchor, found = cut(np.concatenate([h for *_, h in held]), text_of, window, gram)
+        if anchors_only:
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["anchor"])
         which = text_of[first]
         inner = first - offsets[which]
         base = np.array([b for _, b, _, _ in held])[which] if len(first) else first
