@@ -29,8 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 END = b"\xff"
 # Words that a task keeps from the latest texts and, once more, from those
 # before: some 170 bytes each.
-CACHED = 400_000
-CACHED_PAIRS = 500_000
+CACHED = 120_000
+CACHED_PAIRS = 200_000
 
 # Unicode white space, as the pre-tokenizer's \s takes it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -249,7 +249,7 @@ def codec(shared) -> Codec:
 
 
 # Rows worked on, and handed back, at a time.
-SLICE_ROWS = 500
+SLICE_ROWS = 200
 
 
 def map_column(batches, source: str, target: str, work):
