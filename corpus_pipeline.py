@@ -14,11 +14,23 @@ from pyspark.sql import functions as F
 from likeness.llm import bpe, decontaminate, pii, quality, simhash
 from likeness.plans.staging import stage
 
+# Texts of this pipeline are long: fewer of them than Spark's default go to a
+# Python worker at a time, so that two workers and a heap fit a small executor.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_TEXTS = 1_000
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the number of rows in a batch, unless the session has a lower one."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_TEXTS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_TEXTS))
+
+
 def packed(docs: DataFrame, *used: str) -> DataFrame:
     """The columns an operator uses, and all others in one, where no name can clash."""
+    small_batches(docs.sparkSession)
     others = [F.col(c) for c in docs.columns if c != "text"]
     return docs.select(*used, "text", F.struct(*others).alias("_document"))
 
@@ -56,6 +68,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and digests of ids and decoded text."""
+    small_batches(spark)
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER)
     return bpe.decode(encoded.drop("text"), TOKENIZER).select(
         "doc_id",

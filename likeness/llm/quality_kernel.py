@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Distinct words a task counts before it passes its counts on.
-HELD_WORDS = 250_000
+HELD_WORDS = 100_000
 LANGUAGES_HELD = 1_000
 
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "stop", "other", "beyond")
@@ -89,14 +89,21 @@ def profile_batches(batches):
     classes: dict[str, np.ndarray] = {}
 
     def flush():
-        rows = [(lang, w.decode("utf-8", "replace"), None, n) for lang, found in words.items() for w, n in found.items()]
-        rows += [(lang, None, c, int(n)) for lang, found in classes.items() for c, n in enumerate(found)]
+        langs, keys, classed, counts = [], [], [], []
+        for lang, found in words.items():
+            langs += [lang] * len(found)
+            keys += [w.decode("utf-8", "replace") for w in found]
+            classed += [None] * len(found)
+            counts += found.values()
+        for lang, found in classes.items():
+            langs += [lang] * len(found)
+            keys += [None] * len(found)
+            classed += range(len(found))
+            counts += found.tolist()
         words.clear()
         classes.clear()
-        columns = list(zip(*rows)) or [[]] * len(PROFILE)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), f.type) for c, f in zip(columns, PROFILE)], schema=PROFILE
-        )
+        columns = (langs, keys, classed, counts)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PROFILE)], schema=PROFILE)
 
     held = 0
     for batch in batches:
