@@ -14,7 +14,7 @@ from likeness.llm import bpe_kernel as kernel
 
 def tables(spark: SparkSession, path: str):
     """Broadcast the tables of a tokenizer file; a vocabulary is a few MB."""
-    return spark.sparkContext.broadcast(kernel.Tables(Path(path).read_text()))
+    return spark.sparkContext.broadcast(kernel.sealed(kernel.Tables(Path(path).read_text())))
 
 
 def _with_column(rows: DataFrame, name: str, kind: T.DataType, work) -> DataFrame:

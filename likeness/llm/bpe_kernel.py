@@ -13,6 +13,7 @@ Pickled by value: executors need numpy, pyarrow, regex and pyahocorasick only.
 from __future__ import annotations
 
 import json
+import pickle
 import struct
 import sys
 import unicodedata
@@ -240,12 +241,20 @@ def normalised(text: str) -> str:
     return text.lower()
 
 
-def codec(shared) -> Codec:
-    """The codec of a broadcast; it stays with the tables, from task to task of a worker."""
-    tables = shared.value
-    if not hasattr(tables, "codec"):
-        tables.codec = Codec(tables)
-    return tables.codec
+def opened(shared):
+    """The codec of a broadcast that holds its tables pickled by value, as ``sealed`` makes it.
+
+    A plain broadcast names classes and would need this package on executors.
+    The codec stays with the broadcast, from task to task of a worker.
+    """
+    held = shared.value
+    if "codec" not in held:
+        held["codec"] = Codec(pickle.loads(held["pickled"]))
+    return held["codec"]
+
+
+def sealed(value) -> dict:
+    return {"pickled": cloudpickle.dumps(value)}
 
 
 # Rows worked on, and handed back, at a time.
@@ -261,14 +270,14 @@ def map_column(batches, source: str, target: str, work):
 
 
 def encode_batches(batches, shared, text: str):
-    own = codec(shared)
+    own = opened(shared)
     return map_column(
         batches, text, "ids", lambda texts: pa.array([own.ids(t.as_py() or "") for t in texts], pa.binary())
     )
 
 
 def decode_batches(batches, shared, ids: str):
-    own = codec(shared)
+    own = opened(shared)
     return map_column(
         batches,
         ids,

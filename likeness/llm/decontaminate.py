@@ -33,7 +33,7 @@ def slices(benchmark: DataFrame, item_id: str, text: str, slice_bytes: int):
 
 
 def _searcher(spark, items, window):
-    shared = spark.sparkContext.broadcast(kernel.Searcher(items, window))
+    shared = spark.sparkContext.broadcast(kernel.sealed(kernel.Searcher(items, window)))
 
     def batch(texts):
         return kernel.search_batch(texts, shared)

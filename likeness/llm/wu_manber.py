@@ -5,6 +5,7 @@ Pickled by value: executors need numpy and pyarrow only.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections import defaultdict
 
@@ -125,10 +126,26 @@ FOUND = pa.struct(
 )
 
 
+def opened(shared):
+    """The object of a broadcast that holds it pickled by value, as ``sealed`` makes it.
+
+    A plain broadcast names classes and would need this package on executors.
+    The object stays with the broadcast, from task to task of a worker.
+    """
+    held = shared.value
+    if "object" not in held:
+        held["object"] = pickle.loads(held["pickled"])
+    return held["object"]
+
+
+def sealed(value) -> dict:
+    return {"pickled": cloudpickle.dumps(value)}
+
+
 def search_batch(texts: pa.Array, shared) -> pa.Array:
-    rows = []
+    rows, searcher = [], opened(shared)
     for text in texts:
-        n, spans, ids = shared.value.search(text.as_py())
+        n, spans, ids = searcher.search(text.as_py())
         rows.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "item_ids": ids})
     return pa.array(rows, FOUND)
 
