@@ -47,3 +47,37 @@ def test_edges(spark):
     assert {r.text_crc32 for r in got if r.doc_id == 2} == {0}
     assert sharding.shard_documents(df.limit(0)).count() == 0
     assert df.select(F.crc32(F.lit("a"))).first()[0] in {r.text_crc32 for r in got if r.doc_id == 1}
+
+
+def cut(texts, rows):
+    """Share of rows that are not in their text's main shard, but for texts larger than a shard."""
+    homes = {}
+    for r in rows:
+        homes.setdefault(texts[r.doc_id], Counter())[r.shard] += 1
+    return sum(sum(c.values()) - max(c.values()) for c in homes.values()) / len(texts), homes
+
+
+def test_swaps_survive_when_much_else_is_refused():
+    wishes = np.zeros((4, 4), np.int64)
+    wishes[1:, 0], wishes[0, 1] = 100, 40
+    moves, net = sharding.flows(wishes, np.zeros(4, np.int64))
+    assert moves[1, 0] == 40 == moves[0, 1] and not net.any()
+
+
+def test_groups_gather_without_unlinked_rows(spark):
+    thirds = [f"third {i % 3}" for i in range(4800)]
+    pairs = [f"pair {i % 2000}" for i in range(4000)]
+    mixed = ["hot"] * 1200 + [f"group {i % 300}" for i in range(2400)]
+    for texts in (thirds, pairs, mixed):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        rows = sharding.shard_documents(df).collect()
+        counts = spread(rows)
+        assert len(rows) == len(texts) and max(counts.values()) - min(counts.values()) <= 1
+        apart, homes = cut(texts, rows)
+        if texts is thirds:
+            assert all(len(c) <= 8 for c in homes.values())
+        else:
+            whole = [c for t, c in homes.items() if t != "hot"]
+            assert sum(sum(c.values()) - max(c.values()) for c in whole) < 0.1 * len(texts)
+        if texts is mixed:
+            assert len(homes["hot"]) <= 8
