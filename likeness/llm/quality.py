@@ -10,7 +10,7 @@ from likeness.plans.staging import stage
 
 # Words that make up a language's common-word histogram, beside all others.
 COMMON = 50
-MIN_WORDS = 50
+MIN_WORDS = kernel.MIN_WORDS
 # A language with fewer words in all has no reference.
 MIN_REFERENCE_WORDS = 20_000
 # References broadcast at most: about 2 KB each.
@@ -20,6 +20,7 @@ BROADCAST_REFERENCES = 20_000
 CLASS_LIMIT = (0.17, 1.2)
 WORD_LIMIT = (0.20, 2.4)
 
+_FIRST = "key binary, lang string, text string"
 _PROFILE = "lang string, word string, cls bigint, n bigint"
 _JUDGED = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,"
@@ -28,7 +29,11 @@ _JUDGED = (
 
 
 def references(docs: DataFrame, lang: str = "lang", text: str = "text", common: int = COMMON) -> DataFrame:
-    """``(lang, n_words, words, counts, classes)`` from all of ``docs``.
+    """``(lang, n_words, words, counts, classes)`` from the different texts of ``docs``.
+
+    Each text of a language counts once, however many copies it has, and only
+    if it passes the base rules. Tasks leave out copies before texts go to the
+    task of their digest, so a hot text gives it one row for each task.
 
     The ``common`` most frequent words of each language, A-Z folded, with their
     counts (ties by word), and the character counts of each class. Null is a
@@ -37,6 +42,8 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text", common:
     """
     counted = stage(
         docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string"))
+        .mapInArrow(kernel.first_batches, _FIRST)
+        .repartition("key")
         .mapInArrow(kernel.profile_batches, _PROFILE)
         .groupBy("lang", "word", "cls")
         .agg(F.sum("n").alias("n")),
@@ -90,8 +97,9 @@ def judge(
     further from their language's reference than a document of that length may.
     Guards: no distance is judged under ``MIN_WORDS`` words (such documents have
     failed already) or for a language of fewer than ``min_reference_words``
-    words. Null texts are empty; repeated rows count as often as they occur.
-    Columns added here replace those of the same name.
+    words in its different texts that pass the base rules. Null texts are
+    empty; repeated rows are judged alike. Columns added
+    here replace those of the same name.
     """
     own = stage(
         references(docs, lang, text, common).filter(F.col("n_words") >= min_reference_words), "references"

@@ -5,6 +5,7 @@ Pickled by value: executors need numpy and pyarrow only.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections import Counter
 
@@ -80,11 +81,51 @@ def raw_text(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+MIN_WORDS = 50
+
+
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    """Too few words, or more than half of them in repeated windows."""
+    return n_words < MIN_WORDS or 100 * n_repeat_words > 50 * n_words
+
+
+def text_key(lang: str | None, raw: bytes) -> bytes:
+    """128 bits for each text of a language."""
+    name = b"" if lang is None else b"=" + lang.encode("utf-8", "surrogatepass")
+    return hashlib.blake2b(raw, digest_size=16, key=hashlib.blake2b(name, digest_size=16).digest()).digest()
+
+
 PROFILE = pa.schema([("lang", pa.string()), ("word", pa.string()), ("cls", pa.int64()), ("n", pa.int64())])
 
 
+FIRST = pa.schema([("key", pa.binary()), ("lang", pa.string()), ("text", pa.string())])
+
+
+def first_batches(batches):
+    """``(key, lang, text)`` of a task's different texts that pass the base rules."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keys, at = [], []
+        for i, (lang, text) in enumerate(zip(batch.column(0), batch.column(1))):
+            raw = raw_text(text.as_py())
+            key = text_key(lang.as_py(), raw)
+            if key in seen:
+                continue
+            seen.add(key)
+            words = raw.split()
+            if not base_failed(len(words), 0) and not base_failed(len(words), repeated_words(words)):
+                keys.append(key)
+                at.append(i)
+        columns = [pa.array(keys, pa.binary()), *(batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, schema=FIRST)
+
+
 def profile_batches(batches):
-    """Partial counts of ``(lang, text)`` rows: words by language, then classes."""
+    """Partial counts of ``(key, lang, text)`` rows, each key once: words by language, then classes.
+
+    All rows of a key have to be in one task.
+    """
+    seen: set[bytes] = set()
     words: dict[str, Counter] = {}
     classes: dict[str, np.ndarray] = {}
 
@@ -107,7 +148,11 @@ def profile_batches(batches):
 
     held = 0
     for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1)):
+        for key, lang, text in zip(*batch.columns):
+            key = key.as_py()
+            if key in seen:
+                continue
+            seen.add(key)
             lang, raw = lang.as_py(), raw_text(text.as_py())
             found = words.setdefault(lang, Counter())
             before = len(found)

@@ -63,3 +63,22 @@ def test_divergence_and_edges(spark):
     assert not any(kept[i] for i in (900, 901, 1000, 1001, 1002, 1004))
     assert got.count() == df.count()
     assert quality.judge(df.limit(0)).count() == 0
+
+
+def test_copies_and_failed_texts_do_not_make_the_reference(spark):
+    rnd = random.Random(14)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    chances = [1 / (i + 1) for i in range(3000)]
+
+    def natural(n):
+        return " ".join(rnd.choices(vocabulary, chances, k=n))
+
+    hot = " ".join(rnd.choices(vocabulary[1000:1040], k=1000))
+    clean = [(i, natural(1000), "xx") for i in range(60)]
+    copies = [(1000 + i, hot, "xx") for i in range(120)]
+    poor = [(2000 + i, "spam words only " * 400, "xx") for i in range(60)]
+    df = spark.createDataFrame(clean + copies + poor, "doc_id long, text string, lang string").repartition(5)
+    kept = {r.doc_id: r.kept for r in quality.judge(df).collect()}
+    assert len(kept) == 240 and all(kept[i] for i in range(60)) and not any(kept[2000 + i] for i in range(60))
+    counts = {r.lang: r.n_words for r in quality.references(df).collect()}
+    assert counts == {"xx": 61_000}
