@@ -11,6 +11,7 @@ from likeness.llm import (
     byte_repeats,
     decontaminate,
     passages,
+    phrases,
     pii,
     quality,
     sharding,
@@ -120,6 +121,10 @@ def op10_passages(spark, sf_dir):
     return passages.digests(passages.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op13_phrases(spark, sf_dir):
+    return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -131,6 +136,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_token_rollup": op9_token_rollup,
     "op10_passages": op10_passages,
+    "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -209,9 +215,43 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+PHRASES_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+    SELECT lang, w[i:i + m - 1] AS p FROM w, (SELECT unnest([1, 2, 3, 4]) AS m),
+        LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i) WHERE len(w) >= m
+), f AS (
+    SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p
+), n AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang
+), c AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 30),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM c),
+scored AS (
+    SELECT lang, p, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+    FROM cuts JOIN f x USING (lang) JOIN f y USING (lang)
+    WHERE x.p = cuts.p[1:k] AND y.p = cuts.p[k + 1:len(cuts.p)]
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_parts AS (
+    SELECT lang, p[s:s + m - 1] AS p, max(a) AS longest FROM c, (SELECT unnest([2, 3]) AS m),
+        LATERAL (SELECT unnest(range(1, len(p) - m + 2)) AS s) WHERE len(p) > m GROUP BY ALL
+), kept AS (
+    SELECT best.* FROM best LEFT JOIN inner_parts i ON i.lang = best.lang AND i.p = best.p
+    WHERE i.longest IS NULL OR 100 * i.longest < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+        array_to_string(p, ' ') AS phrase, a, l, r, score FROM kept
+) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE_SQL = {
     "op1_decontaminate": DECONTAMINATE_SQL,
     "op6_warc": WARC_SQL,
     "op9_token_rollup": ROLLUP_SQL,
     "op10_passages": PASSAGES_SQL,
+    "op13_phrases": PHRASES_SQL,
 }
