@@ -10,6 +10,7 @@ from likeness.llm import (
     bpe,
     byte_repeats,
     decontaminate,
+    packing,
     passages,
     phrases,
     pii,
@@ -121,6 +122,11 @@ def op10_passages(spark, sf_dir):
     return passages.digests(passages.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op12_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.digests(docs, TOKENIZER)
+
+
 def op13_phrases(spark, sf_dir):
     return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -136,6 +142,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_token_rollup": op9_token_rollup,
     "op10_passages": op10_passages,
+    "op12_packing": op12_packing,
     "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
@@ -231,7 +238,7 @@ WITH pieces AS (
 ), c AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 30),
 cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM c),
 scored AS (
-    SELECT lang, p, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+    SELECT lang, cuts.p, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
     FROM cuts JOIN f x USING (lang) JOIN f y USING (lang)
     WHERE x.p = cuts.p[1:k] AND y.p = cuts.p[k + 1:len(cuts.p)]
 ), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
