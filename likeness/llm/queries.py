@@ -19,6 +19,7 @@ from likeness.llm import (
     simhash,
     token_rollup,
     warc,
+    whitening,
 )
 from likeness.plans.staging import fresh_path, stage
 
@@ -122,6 +123,10 @@ def op10_passages(spark, sf_dir):
     return passages.digests(passages.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.digests(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def op12_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.digests(docs, TOKENIZER)
@@ -142,6 +147,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_token_rollup": op9_token_rollup,
     "op10_passages": op10_passages,
+    "op11_whitening": op11_whitening,
     "op12_packing": op12_packing,
     "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
