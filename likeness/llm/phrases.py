@@ -21,12 +21,14 @@ TOP = 2_000
 COVERED = 80
 NO_LANGUAGE = "und"
 # Bytes of filters that one task merges; a key takes some four of them.
-MERGE_BYTES = 4 << 20
+MERGE_BYTES = 2 << 20
 KEY_BYTES = 4
 # Bits by which a filter is parted at a time: a thousand parts of a few KB.
 SPLIT_BITS = 10
 # Parts that a task merges one after the other.
 TASK_PARTS = 16
+# A phrase and its count take as much as so many narrow rows in a broadcast.
+PART_ROWS = 10
 
 _CHUNKS = "shard bigint, lang string, word binary, number int, n bigint, lead int, codes binary"
 _FILTERS = "words int, head bigint, shard bigint, filter binary"
@@ -130,7 +132,7 @@ def _best(grams: DataFrame, known: DataFrame, totals: DataFrame, top: int) -> Da
         grams.unionAll(known.select(F.array("id").alias("ids"), F.col("n").alias("a"))).withColumnRenamed("a", "f"),
         "parts",
     )
-    table = small(parts, parts.count())
+    table = small(parts, parts.count() * PART_ROWS)
     size = F.size("ids")
     cuts = (
         grams.select("ids", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
