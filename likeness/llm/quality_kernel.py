@@ -15,8 +15,8 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Distinct words a task counts before it passes its counts on.
-HELD_WORDS = 100_000
+# Distinct words a task counts before it reports the frequent ones.
+HELD_WORDS = 400_000
 LANGUAGES_HELD = 1_000
 
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "stop", "other", "beyond")
@@ -89,80 +89,127 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > 50 * n_words
 
 
-def text_key(lang: str | None, raw: bytes) -> bytes:
+def text_key(lang: str, raw: bytes) -> bytes:
     """128 bits for each text of a language."""
-    name = b"" if lang is None else b"=" + lang.encode("utf-8", "surrogatepass")
-    return hashlib.blake2b(raw, digest_size=16, key=hashlib.blake2b(name, digest_size=16).digest()).digest()
+    name = hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return hashlib.blake2b(raw, digest_size=16, key=name).digest()
 
 
-PROFILE = pa.schema([("lang", pa.string()), ("word", pa.string()), ("cls", pa.int64()), ("n", pa.int64())])
+REPORT = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("texts", pa.int64())])
 
 
-FIRST = pa.schema([("key", pa.binary()), ("lang", pa.string()), ("text", pa.string())])
+def report_batches(batches, most: int):
+    """The ``most`` frequent words of parts of a task, by language.
 
-
-def first_batches(batches):
-    """``(key, lang, text)`` of a task's different texts that pass the base rules."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keys, at = [], []
-        for i, (lang, text) in enumerate(zip(batch.column(0), batch.column(1))):
-            raw = raw_text(text.as_py())
-            key = text_key(lang.as_py(), raw)
-            if key in seen:
-                continue
-            seen.add(key)
-            words = raw.split()
-            if not base_failed(len(words), 0) and not base_failed(len(words), repeated_words(words)):
-                keys.append(key)
-                at.append(i)
-        columns = [pa.array(keys, pa.binary()), *(batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1))]
-        yield pa.RecordBatch.from_arrays(columns, schema=FIRST)
-
-
-def profile_batches(batches):
-    """Partial counts of ``(key, lang, text)`` rows, each key once: words by language, then classes.
-
-    All rows of a key have to be in one task.
+    A row without a word has the count that no word left out of its part
+    exceeds, and the number of texts.
     """
-    seen: set[bytes] = set()
     words: dict[str, Counter] = {}
-    classes: dict[str, np.ndarray] = {}
+    texts: Counter = Counter()
 
     def flush():
-        langs, keys, classed, counts = [], [], [], []
         for lang, found in words.items():
-            langs += [lang] * len(found)
-            keys += [w.decode("utf-8", "replace") for w in found]
-            classed += [None] * len(found)
-            counts += found.values()
-        for lang, found in classes.items():
-            langs += [lang] * len(found)
-            keys += [None] * len(found)
-            classed += range(len(found))
-            counts += found.tolist()
+            top = found.most_common(most + 1)
+            left_out = top.pop()[1] if len(top) > most else 0
+            columns = (
+                [lang] * (len(top) + 1),
+                [*(w.decode("utf-8", "replace") for w, _ in top), None],
+                [*(n for _, n in top), left_out],
+                [0] * len(top) + [texts[lang]],
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, REPORT)], schema=REPORT)
         words.clear()
-        classes.clear()
-        columns = (langs, keys, classed, counts)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PROFILE)], schema=PROFILE)
+        texts.clear()
 
     held = 0
     for batch in batches:
-        for key, lang, text in zip(*batch.columns):
-            key = key.as_py()
-            if key in seen:
-                continue
-            seen.add(key)
-            lang, raw = lang.as_py(), raw_text(text.as_py())
-            found = words.setdefault(lang, Counter())
+        for lang, text in zip(*batch.columns):
+            found = words.setdefault(lang.as_py(), Counter())
+            texts[lang.as_py()] += 1
             before = len(found)
-            found.update(raw.lower().split())
+            found.update(raw_text(text.as_py()).lower().split())
             held += len(found) - before
-            total = class_counts(raw)
-            classes[lang] = classes[lang] + total if lang in classes else total
-            if held > HELD_WORDS:
-                yield flush()
+            if held > HELD_WORDS or len(words) > LANGUAGES_HELD:
+                yield from flush()
                 held = 0
+    yield from flush()
+
+
+PROFILE = pa.schema(
+    [
+        ("key", pa.binary()),
+        ("lang", pa.string()),
+        ("n_words", pa.int64()),
+        ("classes", pa.list_(pa.int64())),
+        ("at", pa.list_(pa.int32())),
+        ("n", pa.list_(pa.int64())),
+    ]
+)
+
+
+def indexed(known: dict, lang: str, words: str) -> dict[bytes, int]:
+    if lang not in known:
+        if len(known) >= LANGUAGES_HELD:
+            known.clear()
+        known[lang] = {w: i for i, w in enumerate(words.encode().split())}
+    return known[lang]
+
+
+def profile_batches(batches):
+    """One narrow row for each ``(lang, text, words)`` that passes the base rules.
+
+    Its key, and how often it has each of its language's ``words`` (only those
+    that it has), each class of character, and words at all.
+    """
+    known: dict[str, dict[bytes, int]] = {}
+    for batch in batches:
+        rows = []
+        for lang, text, words in zip(*batch.columns):
+            raw, lang = raw_text(text.as_py()), lang.as_py()
+            own = raw.split()
+            if base_failed(len(own), 0) or base_failed(len(own), repeated_words(own)):
+                continue
+            index = indexed(known, lang, words.as_py())
+            found = [i for i in map(index.get, raw.lower().split()) if i is not None]
+            n = np.bincount(found) if found else np.zeros(0, np.int64)
+            at = np.flatnonzero(n)
+            rows.append((text_key(lang, raw), lang, len(own), class_counts(raw), at, n[at]))
+        columns = list(zip(*rows)) or [[]] * len(PROFILE)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PROFILE)], schema=PROFILE)
+
+
+TOTALS = pa.schema([("lang", pa.string()), ("what", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
+WORDS, CLASS, ALL = range(3)
+
+
+def total_batches(batches):
+    """Sums of profiles, by language: of each word, each class, and all words."""
+    words: dict[str, np.ndarray] = {}
+    classes: dict[str, np.ndarray] = {}
+    all_words: Counter = Counter()
+
+    def flush():
+        rows = [(lang, WORDS, i, n) for lang, found in words.items() for i, n in enumerate(found.tolist()) if n]
+        rows += [(lang, CLASS, i, n) for lang, found in classes.items() for i, n in enumerate(found.tolist())]
+        rows += [(lang, ALL, 0, n) for lang, n in all_words.items()]
+        for held in (words, classes, all_words):
+            held.clear()
+        columns = list(zip(*rows)) or [[]] * len(TOTALS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, TOTALS)], schema=TOTALS)
+
+    for batch in batches:
+        for lang, n_words, found, at, n in zip(*(batch.column(c) for c in ("lang", "n_words", "classes", "at", "n"))):
+            lang = lang.as_py()
+            at, n = (x.values.to_numpy() for x in (at, n))
+            held = words.get(lang, np.zeros(0, np.int64))
+            if len(at) and at[-1] >= len(held):
+                held = np.append(held, np.zeros(int(at[-1]) + 1 - len(held), np.int64))
+            held[at] += n
+            words[lang] = held
+            classes[lang] = classes.get(lang, 0) + found.values.to_numpy()
+            all_words[lang] += n_words.as_py()
+        if len(words) > LANGUAGES_HELD:
+            yield flush()
     yield flush()
 
 
@@ -187,9 +234,13 @@ JUDGED = pa.struct(
         ("n_repeat_words", pa.int64()),
         ("class_distance", pa.float64()),
         ("word_distance", pa.float64()),
+        ("pooled_distance", pa.float64()),
     ]
 )
 
+# Classes as all languages share them: letters of any kind are one.
+POOLS = np.array([[1, 1, 0, 0, 0, 0, 0, 1], *np.eye(len(CLASSES), dtype=int)[2:7]])
+
 
 def judge_batch(langs: pa.Array, texts: pa.Array, references: pa.Array) -> pa.Array:
     """Base counts, and distances where there is a word and a reference."""
@@ -212,10 +263,12 @@ def judge_batch(langs: pa.Array, texts: pa.Array, references: pa.Array) -> pa.Ar
                 index,
                 np.array([*found["counts"], rest], float),
                 np.array(found["classes"], float),
+                POOLS @ np.array(found["pooled"], float),
             )
-        index, common, usual = known[key]
+        index, common, usual, pooled = known[key]
         other = len(index)
         own = np.bincount([index.get(w, other) for w in raw.lower().split()], minlength=other + 1)
         row["word_distance"] = distance(own, common)
         row["class_distance"] = distance(classes, usual)
+        row["pooled_distance"] = distance(POOLS @ classes, pooled)
     return pa.array(rows, JUDGED)

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -80,5 +81,85 @@ def test_copies_and_failed_texts_do_not_make_the_reference(spark):
     df = spark.createDataFrame(clean + copies + poor, "doc_id long, text string, lang string").repartition(5)
     kept = {r.doc_id: r.kept for r in quality.judge(df).collect()}
     assert len(kept) == 240 and all(kept[i] for i in range(60)) and not any(kept[2000 + i] for i in range(60))
-    counts = {r.lang: r.n_words for r in quality.references(df).collect()}
-    assert counts == {"xx": 61_000}
+    counts = {r._lang: r.n_words for r in quality.references(df).collect()}
+    assert counts == {"=xx": 61_000}
+
+
+def plain_references(rows, common):
+    """Each different text of a language once, if it passes the base rules."""
+    words, classes, seen = {}, {}, set()
+    for lang, text in rows:
+        counts = plain_counts(text or "")
+        n = counts["n_words"]
+        if (lang, text) in seen or n < 50 or 100 * counts["n_repeat_words"] > 50 * n:
+            continue
+        seen.add((lang, text))
+        raw = text.encode()
+        words.setdefault(lang, Counter()).update(raw.lower().decode().split())
+        classes[lang] = classes.get(lang, 0) + quality.kernel.class_counts(raw)
+    out = {}
+    for lang, found in words.items():
+        top = sorted(found.items(), key=lambda x: (-x[1], x[0].encode()))[:common]
+        out["" if lang is None else f"={lang}"] = (
+            sum(found.values()), [w for w, _ in top], [n for _, n in top], classes[lang].tolist()
+        )
+    return out
+
+
+def corpus(rnd):
+    rows = [("xx", prose(rnd, rnd.randrange(40, 300))) for _ in range(60)]
+    rows += [("xx", rows[0][1])] * 30 + [("flat", " ".join(rnd.sample([f"w{i}" for i in range(900)], 800))) for _ in range(3)]
+    rows += [(None, prose(rnd, 120)), ("", prose(rnd, 90)), ("yy", None), ("yy", ""), ("zz", "same words " * 90)]
+    return rows
+
+
+def test_references_against_brute_force(spark, monkeypatch):
+    rows = corpus(random.Random(21))
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    expected = plain_references(rows, 50)
+    assert set(expected) == {"=xx", "=flat", "", "="}
+    shapes = ({}, {"CANDIDATES": 1, "WHOLE": 1, "REPORTED": 1}, {"BROADCAST_LANGUAGES": 0, "LANGUAGE_PARTS": 3})
+    for shape in shapes:
+        with monkeypatch.context() as patch:
+            for name, value in shape.items():
+                patch.setattr(quality, name, value)
+            found = quality.references(df).collect()
+        assert {r._lang: (r.n_words, r.words, r.counts, r.classes) for r in found} == expected
+
+
+def plain_distance(p, q):
+    p, q = ([x / sum(h) for x in h] for h in (p, q))
+    total = sum(a * math.log2(2 * a / (a + b)) for a, b in zip(p, q) if a)
+    total += sum(b * math.log2(2 * b / (a + b)) for a, b in zip(p, q) if b)
+    return math.sqrt(max(0.0, total / 2))
+
+
+def test_verdicts_against_brute_force(spark):
+    rnd = random.Random(22)
+    rows = corpus(rnd) + [("xx", " ".join(w + "%%%" for w in prose(rnd, 200).split())), ("junk", "#%& " * 5 + " ".join("|%$#" + str(i) for i in range(90)))]
+    table = plain_references(rows, 50)
+    pooled = [sum(t[3][i] for t in table.values()) for i in range(8)]
+    pool = lambda h: [h[0] + h[1] + h[7], *h[2:7]]
+    verdicts = {}
+    for i, (lang, text) in enumerate(rows):
+        counts = plain_counts(text or "")
+        n = counts["n_words"]
+        if n < 50 or 100 * counts["n_repeat_words"] > 50 * n:
+            verdicts[i] = (True, False)
+            continue
+        raw = text.encode()
+        total, words, uses, classes = table["" if lang is None else f"={lang}"]
+        own = Counter(raw.lower().decode().split())
+        histogram = [own[w] for w in words]
+        slack = lambda limit, *sizes: limit[0] + sum(limit[1] / math.sqrt(x) for x in sizes)
+        verdicts[i] = (
+            False,
+            plain_distance([*histogram, n - sum(histogram)], [*uses, total - sum(uses)]) <= slack(quality.WORD_LIMIT, n, total)
+            and plain_distance(quality.kernel.class_counts(raw).tolist(), classes) <= slack(quality.CLASS_LIMIT, n, total)
+            and plain_distance(pool(quality.kernel.class_counts(raw).tolist()), pool(pooled)) <= slack(quality.POOLED_LIMIT, n),
+        )
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string").repartition(3)
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(df).collect()}
+    assert got == verdicts
+    # A language of its own hides no junk.
+    assert not got[len(rows) - 1][1] and not got[len(rows) - 2][1]
