@@ -388,7 +388,7 @@ def oracle_sql() -> dict[str, str]:
         "cluster_text_roundtrip": clusters_of,
         "neighbour_clusters_parts": f"SELECT node, size, members FROM ({clusters_of})",
         "rp_signatures": sql.statement(
-            sql.bits(EMBEDDINGS, sql.EMBEDDINGS), "SELECT perm, id, sig FROM bits"
+            sql.bits(EMBEDDINGS, sql.EMBEDDINGS), f"SELECT perm, id, {sql.sign_text(EMBEDDINGS)} AS sig FROM bits"
         ),
         "rp_neighbours": sql.statement(embedding_pairs, sql.PAIRS),
         "rp_neighbours_cells": sql.statement(embedding_pairs, sql.PAIRS),
@@ -398,7 +398,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "sentence_vectors": vectors,
         "sentence_vectors_large": vectors,
-        "sentence_signatures": sql.statement(every_point, "SELECT perm, id, sig FROM bits"),
+        "sentence_signatures": sql.statement(
+            every_point, f"SELECT perm, id, {sql.sign_text(ALL_POINTS)} AS sig FROM bits"
+        ),
         "sentence_vector_neighbours": sql.statement(sql.pairs(SENTENCE_POINTS, points), sql.PAIRS),
         "article_text_roundtrip": r"SELECT doc_id::VARCHAR AS doc_id, "
         r"regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM documents",

@@ -194,39 +194,54 @@ FROM edges GROUP BY src"""
 # -- random projection -------------------------------------------------------
 
 
+WORD_BITS = 60
+
+
+def sign_words(p: ProjectionParams) -> list[tuple[str, int]]:
+    """Names and widths of the whole numbers that hold a signature's bits."""
+    return [(f"w{n}", min(WORD_BITS, p.sig_len - i)) for n, i in enumerate(range(0, p.sig_len, WORD_BITS))]
+
+
 def bits(p: ProjectionParams, vectors_cte: str) -> list[str]:
-    """``bits(perm, id, sig)`` from ``v(id, vec DOUBLE[])``."""
-    planes = ", ".join(
-        f"({i}, {[float(x) for x in plane]})" for i, plane in enumerate(hyperplanes(p))
-    )
+    """``bits(perm, id, w0, w1, ...)`` from ``v(id, vec DOUBLE[])``; equal vectors are multiplied once."""
+    planes = [[float(x) for x in plane] for plane in hyperplanes(p)]
     orders = ", ".join(
         f"({j}, {[int(x) + 1 for x in order]})" for j, order in enumerate(coordinate_orders(p))
     )
+    words, done = [], 0
+    for name, width in sign_words(p):
+        sign = (
+            f"((list_dot_product(vec, {plane}::DOUBLE[]) >= 0)::BIGINT << {width - 1 - i})"
+            for i, plane in enumerate(planes[done : done + width])
+        )
+        words.append(f"{' | '.join(sign)} AS {name}")
+        done += width
     return [
         vectors_cte,
-        f"planes(i, plane) AS (VALUES {planes})",
+        "different AS (SELECT vec, list(id) AS ids FROM v GROUP BY vec)",
         f"orders(perm, places) AS (VALUES {orders})",
-        "reordered AS (SELECT perm, id, list_select(vec, places) AS vec FROM v, orders)",
-        "all_planes AS (SELECT list(plane::DOUBLE[] ORDER BY i) AS all_planes FROM planes)",
-        """bits AS MATERIALIZED (
-  SELECT perm::INTEGER AS perm, id,
-         array_to_string(list_transform(all_planes,
-             lambda plane: CASE WHEN list_dot_product(vec, plane) >= 0 THEN '1' ELSE '0' END), '') AS sig
-  FROM reordered, all_planes)""",
+        "reordered AS (SELECT perm, ids, list_select(vec, places) AS vec FROM different, orders)",
+        f"bits AS MATERIALIZED (SELECT perm::INTEGER AS perm, unnest(ids) AS id, {', '.join(words)} FROM reordered)",
     ]
 
 
+def sign_text(p: ProjectionParams) -> str:
+    return " || ".join(f"lpad(bin({name}), {width}, '0')" for name, width in sign_words(p))
+
+
 def pairs(p: ProjectionParams, bit_ctes: list[str]) -> list[str]:
+    names = [name for name, _ in sign_words(p)]
+    words = ", ".join(names)
+    dist = " + ".join(f"bit_count(xor(a.{w}, b.{w}))" for w in names)
     return bit_ctes + [
-        """ranked AS (
-  SELECT perm, id, sig, row_number() OVER (PARTITION BY perm ORDER BY sig, id) AS r FROM bits)""",
+        f"""ranked AS (
+  SELECT perm, id, {words}, row_number() OVER (PARTITION BY perm ORDER BY {words}, id) AS r FROM bits)""",
         f"""looking AS (
-  SELECT perm, id, sig, r - unnest(range(1, {p.window + 1})) AS r FROM ranked)""",
+  SELECT perm, id, {words}, r - unnest(range(1, {p.window + 1})) AS r FROM ranked)""",
         f"""pairs AS (
-  SELECT a.perm, hamming(a.sig, b.sig)::INTEGER AS dist,
-         least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b
+  SELECT a.perm, ({dist})::INTEGER AS dist, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b
   FROM looking a JOIN ranked b ON a.perm = b.perm AND a.r = b.r
-  WHERE hamming(a.sig, b.sig) < {p.threshold})""",
+  WHERE {dist} < {p.threshold})""",
     ]
 
 
@@ -291,22 +306,22 @@ def word_coefficients(dims: int) -> list[tuple[int, int]]:
 
 def sentence_vectors(dims: int) -> list[str]:
     values = ", ".join(
-        f"(((base * {a} + {b}) % {PRIME}) / {HALF_PRIME}::DOUBLE - 1)::FLOAT::DOUBLE"
-        for a, b in word_coefficients(dims)
+        f"(((base * {a} + {b}) % {PRIME}) / {HALF_PRIME}::DOUBLE - 1)::FLOAT::DOUBLE AS v{i}"
+        for i, (a, b) in enumerate(word_coefficients(dims))
     )
-    means = ", ".join(f"coalesce(avg(vec[{i + 1}]), 0.0::DOUBLE)" for i in range(dims))
+    sums = ", ".join(f"avg(v{i}) AS v{i}" for i in range(dims))
+    means = ", ".join(f"coalesce(v{i}, 0.0::DOUBLE)" for i in range(dims))
     return tokens() + [
         "token_rows AS (SELECT doc_id, ord, unnest(tokens) AS word FROM tokens)",
         f"""vocabulary AS (
-  SELECT word, [{values}] AS vec
+  SELECT word, {values}
   FROM (SELECT DISTINCT word, ('0x' || substr(md5(word), 1, 8))::BIGINT AS base
         FROM token_rows WHERE substr(md5(word), 1, 1) <> 'f'))""",
+        f"""means AS (
+  SELECT doc_id, ord, {sums}, count(*) AS n FROM token_rows JOIN vocabulary USING (word) GROUP BY doc_id, ord)""",
         f"""sentence_vectors AS (
-  SELECT s.doc_id, s.ord, [{means}] AS vec, count(v.vec)::BIGINT AS n_words
-  FROM sentences s
-  LEFT JOIN token_rows t ON s.doc_id = t.doc_id AND s.ord = t.ord
-  LEFT JOIN vocabulary v ON t.word = v.word
-  GROUP BY s.doc_id, s.ord)""",
+  SELECT s.doc_id, s.ord, [{means}] AS vec, coalesce(n, 0)::BIGINT AS n_words
+  FROM sentences s LEFT JOIN means m ON s.doc_id = m.doc_id AND s.ord = m.ord)""",
     ]
 
 
