@@ -230,34 +230,44 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 
 PHRASES_SQL = r"""
 WITH pieces AS (
-    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
-), w AS (
-    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
-), grams AS (
-    SELECT lang, w[i:i + m - 1] AS p FROM w, (SELECT unnest([1, 2, 3, 4]) AS m),
-        LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i) WHERE len(w) >= m
-), f AS (
-    SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p
-), n AS (
-    SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang
-), c AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 30),
-cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM c),
+    SELECT row_number() OVER () AS piece, lang, w FROM (
+        SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+        FROM (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+    ) WHERE len(w) > 0
+), words AS (
+    SELECT piece, lang, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM pieces
+), counts AS (SELECT lang, word, count(*) AS f FROM words GROUP BY lang, word),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM counts GROUP BY lang),
+known AS MATERIALIZED (SELECT lang, word, f, row_number() OVER () AS id FROM counts WHERE f >= 30),
+places AS (
+    SELECT lang, id AS a, lead(id) OVER w AS b, lead(id, 2) OVER w AS c, lead(id, 3) OVER w AS d
+    FROM words LEFT JOIN known USING (lang, word) WINDOW w AS (PARTITION BY piece ORDER BY place)
+), phrases AS MATERIALIZED (
+    SELECT lang, [a, b] AS p, count(*) AS f FROM places WHERE a + b > 0 GROUP BY lang, a, b HAVING f >= 30
+    UNION ALL
+    SELECT lang, [a, b, c], count(*) AS f FROM places WHERE a + b + c > 0 GROUP BY lang, a, b, c HAVING f >= 30
+    UNION ALL
+    SELECT lang, [a, b, c, d], count(*) AS f FROM places WHERE a + b + c + d > 0 GROUP BY lang, a, b, c, d HAVING f >= 30
+), parts AS (SELECT p, f FROM phrases UNION ALL SELECT [id], f FROM known),
+cuts AS (SELECT lang, p AS whole, f AS a, unnest(range(1, len(p))) AS k FROM phrases),
 scored AS (
-    SELECT lang, cuts.p, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
-    FROM cuts JOIN f x USING (lang) JOIN f y USING (lang)
-    WHERE x.p = cuts.p[1:k] AND y.p = cuts.p[k + 1:len(cuts.p)]
-), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+    SELECT lang, whole, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+    FROM cuts JOIN parts x ON x.p = whole[1:k] JOIN parts y ON y.p = whole[k + 1:]
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY whole ORDER BY score, k) = 1),
 inner_parts AS (
-    SELECT lang, p[s:s + m - 1] AS p, max(a) AS longest FROM c, (SELECT unnest([2, 3]) AS m),
+    SELECT p[s:s + m - 1] AS whole, max(f) AS longest FROM phrases, (SELECT unnest([2, 3]) AS m),
         LATERAL (SELECT unnest(range(1, len(p) - m + 2)) AS s) WHERE len(p) > m GROUP BY ALL
 ), kept AS (
-    SELECT best.* FROM best LEFT JOIN inner_parts i ON i.lang = best.lang AND i.p = best.p
-    WHERE i.longest IS NULL OR 100 * i.longest < 80 * a
+    SELECT best.* FROM best LEFT JOIN inner_parts USING (whole) WHERE longest IS NULL OR 100 * longest < 80 * a
+), spelled AS (
+    SELECT whole, string_agg(word, ' ' ORDER BY place) AS phrase
+    FROM (SELECT whole, unnest(whole) AS id, generate_subscripts(whole, 1) AS place FROM kept) JOIN known USING (id)
+    GROUP BY whole
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM (
-    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
-        array_to_string(p, ' ') AS phrase, a, l, r, score FROM kept
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+    FROM kept JOIN spelled USING (whole)
 ) JOIN n USING (lang) WHERE rank <= 2000
 """
 
