@@ -21,10 +21,13 @@ from likeness.operators.projection import signature_bits
 from likeness.operators.sentences import length_filter, sentences, shingle_counts
 from likeness.params import MinHashParams, ProjectionParams
 from likeness.plans import jobs
+from likeness.plans.components import connected_components
 from likeness.plans.minhash import BucketJob, clusters, minhash_vectors
 from likeness.plans.projection import projection_neighbours, projection_signatures
-from likeness.plans.staging import fresh_path, spread, stage
+from likeness.plans.reading import set_aside
+from likeness.plans.staging import fresh_path, leased, spread, stage
 from likeness.plans.vectors import projection_input, sentence_vectors
+from likeness.plans.verification import verified_pairs
 from likeness.sources import text as files
 
 try:
@@ -146,6 +149,15 @@ def q_neighbour_clusters_parts(spark, sf_dir):
     )
 
 
+def q_bucket_components(spark, sf_dir):
+    """Transitive clusters of the sentences that share buckets."""
+    return connected_components(BucketJob(documents(spark, sf_dir), MINHASH).edges())
+
+
+def q_verified_pairs(spark, sf_dir, **limits):
+    return verified_pairs(BucketJob(documents(spark, sf_dir), MINHASH), **limits)
+
+
 # -- random projection -------------------------------------------------------
 
 
@@ -163,6 +175,12 @@ def q_rp_clusters(spark, sf_dir):
     return clusters(pair_edges(q_rp_neighbours(spark, sf_dir)))
 
 
+def q_rp_components(spark, sf_dir):
+    """Transitive clusters of the vectors that are close, by the way for large tables."""
+    edges = pair_edges(q_rp_neighbours(spark, sf_dir))
+    return connected_components(edges, group_rows=HOT_ROWS, broadcast_nodes=0)
+
+
 # -- tokens and sentence vectors ---------------------------------------------
 
 
@@ -250,6 +268,19 @@ def q_cluster_text_roundtrip(spark, sf_dir):
     return files.read_clusters(spark, path)
 
 
+def q_faulty_lines(spark, sf_dir):
+    """Vector lines with article lines among them: how many rows, and how many faults of which kind."""
+    path = fresh_path(spark, "mixed_lines")
+    rows = embeddings(spark, sf_dir).select(F.col("id").alias("doc_id"), F.lit(0).alias("ord"), "vec")
+    files.write_vectors(rows, f"{path}/vectors")
+    files.write_articles(documents(spark, sf_dir), f"{path}/articles")
+    found = set_aside(spark, f"{path}/*", files.vector_lines(EMBEDDINGS.vec_len))
+    kinds = found.rows.select(F.lit("none").alias("reason")).unionAll(found.rejected.select("reason"))
+    return kinds.groupBy("reason").agg(F.count("*").alias("n")).select(
+        "reason", "n", F.lit(found.n_rows).cast("bigint").alias("n_rows"), F.lit(found.n_rejected).cast("bigint").alias("n_rejected")
+    )
+
+
 # -- whole jobs, files to files ----------------------------------------------
 
 
@@ -273,7 +304,8 @@ def q_bucket_cluster_file_job(spark, sf_dir):
 def pair_lines(spark, sf_dir):
     vectors, pairs = fresh_path(spark, "vectors"), fresh_path(spark, "pairs")
     rows = embeddings(spark, sf_dir).select(F.col("id").alias("doc_id"), F.lit(0).alias("ord"), "vec")
-    files.write_vectors(rows.limit(0), vectors)
+    opposite = F.transform("vec", lambda v: -v)
+    files.write_vectors(rows.withColumn("vec", opposite), vectors)
     files.write_vectors(rows, vectors)  # replaces what is there
     jobs.projection_job(spark, vectors, pairs, EMBEDDINGS, partitions=4)
     return pairs
@@ -306,7 +338,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "sentences": all_sentences,
         "sentence_candidates": candidates,
         "shingle_counts": q_shingle_counts,
@@ -342,8 +374,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "projection_file_job": q_projection_file_job,
         "pair_cluster_file_job": q_pair_cluster_file_job,
         "sentence_vector_file_job": q_sentence_vector_file_job,
+        "bucket_components": q_bucket_components,
+        "rp_components": q_rp_components,
+        "verified_pairs": q_verified_pairs,
+        "verified_pairs_hot": partial(q_verified_pairs, group_rows=HOT_ROWS, broadcast_rows=0),
+        "faulty_lines": q_faulty_lines,
         **(llm.QUERIES if llm else {}),
     }
+    return {name: leased(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -360,6 +398,7 @@ def oracle_sql() -> dict[str, str]:
     vectors = sql.statement(
         sql.sentence_vectors(WORD_DIMS), f"SELECT doc_id, ord, {sql.MICROS} AS vec, n_words FROM sentence_vectors"
     )
+    verified = sql.verified(p, 0.8)
     file_pairs = sql.pairs(EMBEDDINGS, sql.bits(EMBEDDINGS, sql.WRITTEN_EMBEDDINGS))
     return {
         "sentences": sql.statement(sql.SENTENCES, "SELECT doc_id, ord, sentence FROM sentences"),
@@ -435,5 +474,10 @@ def oracle_sql() -> dict[str, str]:
             embedding_pairs,
             "SELECT dist, id_a::VARCHAR AS id_a, id_b::VARCHAR AS id_b FROM pairs",
         ),
+        "bucket_components": sql.statement(sql.edges(p) + sql.REACH, sql.COMPONENTS),
+        "rp_components": sql.statement(embedding_pairs + sql.PAIR_EDGES + sql.REACH, sql.COMPONENTS),
+        "verified_pairs": verified,
+        "verified_pairs_hot": verified,
+        "faulty_lines": sql.FAULTY_LINES,
         **(llm.ORACLE_SQL if llm else {}),
     }

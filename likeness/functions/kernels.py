@@ -133,9 +133,10 @@ def sign_words_batch(vectors: pa.Array, planes: np.ndarray, rounds: int) -> pa.A
     top; the last word is padded with zeros.
     """
     vec_len = planes.shape[0]
-    values = pc.list_flatten(vectors).to_numpy(zero_copy_only=False)
-    if vectors.null_count or len(values) != len(vectors) * vec_len:
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    if vectors.null_count or (lengths != vec_len).any():
         raise ValueError(f"every vector must have {vec_len} values")
+    values = pc.list_flatten(vectors).to_numpy(zero_copy_only=False)
     bits = values.reshape(-1, vec_len).astype(np.float64) @ planes >= 0
     bits = bits.reshape(len(vectors) * rounds, -1)
     words = -(-bits.shape[1] // WORD_BITS)

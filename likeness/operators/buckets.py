@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from likeness.operators.skew import few, route, split_hot
+from likeness.plans.staging import stage
 
 KEYS = ["draw", "sig"]
 
@@ -27,7 +28,8 @@ def bucket_members(
     """Members of every bucket of two or more sentences.
 
     Adds ``bucket_size`` and the hub, the smallest ``(doc_id, ord)`` of the
-    bucket, as ``hub_doc`` and ``hub_ord``. Without hot keys this is one
+    bucket, as ``hub_doc`` and ``hub_ord``; rows with a ``row`` number also get
+    the hub's, ``hub_row``. Without hot keys this is one
     shuffle, of ``tasks`` partitions if given, and one sort. The buckets named
     by ``hot`` never meet in one task: they are counted with a map-side
     combine, and the counts (about one row per hot key) go back by a join.
@@ -39,21 +41,22 @@ def bucket_members(
         hot_rows.groupBy(*KEYS)
         .agg(
             F.count("*").alias("bucket_size"),
-            F.min(F.struct("doc_id", "ord")).alias("hub"),
+            F.min(F.struct(*_places(signature_rows))).alias("hub"),
         )
         .filter("bucket_size > 1")
-        .select(
-            *KEYS,
-            "bucket_size",
-            F.col("hub.doc_id").alias("hub_doc"),
-            F.col("hub.ord").alias("hub_ord"),
-        )
+        .select(*KEYS, "bucket_size", *(F.col(f"hub.{c}").alias(name) for c, name in _places(signature_rows).items()))
     )
-    # About as many rows as hot routes, which few() has counted.
-    hot_members = hot_rows.drop("route").join(few(sizes), KEYS)
+    # About as many rows as hot routes; few() counts them.
+    hot_members = hot_rows.drop("route").join(few(stage(sizes, "hot_sizes")), KEYS)
     return _by_window(other_rows, tasks).unionByName(hot_members)
 
 
+def _places(rows: DataFrame) -> dict[str, str]:
+    """What orders the members of a bucket, and what it is called for the hub."""
+    names = {"doc_id": "hub_doc", "ord": "hub_ord", "row": "hub_row"}
+    return {c: name for c, name in names.items() if c in rows.columns}
+
+
 def _by_window(routed_rows: DataFrame, tasks: int | None = None) -> DataFrame:
     if tasks is not None:
         routed_rows = routed_rows.repartition(tasks, "route", *KEYS)
@@ -61,17 +64,12 @@ def _by_window(routed_rows: DataFrame, tasks: int | None = None) -> DataFrame:
     # comparison, where a signature would be compared value by value.
     bucket = (
         Window.partitionBy("route", *KEYS)
-        .orderBy("doc_id", "ord")
+        .orderBy(*_places(routed_rows))
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
+    hub = {name: F.first(c).over(bucket) for c, name in _places(routed_rows).items()}
     return (
-        routed_rows.withColumns(
-            {
-                "bucket_size": F.count("*").over(bucket),
-                "hub_doc": F.first("doc_id").over(bucket),
-                "hub_ord": F.first("ord").over(bucket),
-            }
-        )
+        routed_rows.withColumns({"bucket_size": F.count("*").over(bucket), **hub})
         .filter("bucket_size > 1")
         .drop("route")
     )
@@ -94,4 +92,4 @@ def attach_sentences(members: DataFrame, sentence_rows: DataFrame) -> DataFrame:
 
     Document ids may repeat, rows do not.
     """
-    return members.join(sentence_rows.select("row", "sentence"), "row").drop("row")
+    return members.join(sentence_rows.select("row", "sentence"), "row").drop("row", "hub_row")

@@ -55,7 +55,7 @@ class BucketJob:
         return stage(counts.filter("n > 1"), "shared_routes")
 
     def members(self) -> DataFrame:
-        """``(draw, sig, doc_id, ord, row, bucket_size, hub_doc, hub_ord)`` of shared buckets."""
+        """``(draw, sig, doc_id, ord, row, bucket_size, hub_doc, hub_ord, hub_row)`` of shared buckets."""
         rows = B.shared_rows(self.signatures(), self.shared.select("route"))
         total = self.shared.agg(F.sum("n")).first()[0] or 0
         tasks = shuffle_tasks(self.vectors.sparkSession, total)

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import copy
+import functools
+import threading
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.classic.dataframe import DataFrame as ClassicFrame
 
 _CHECKPOINTS = "spark.checkpoint.dir"
 _WAREHOUSE = "spark.sql.warehouse.dir"
 # Rows of a few dozen bytes that one shuffle task sorts with ease.
 TASK_ROWS = 5_000_000
 
-_open_scopes: list[list[str]] = []
+# Folders made inside the innermost scope. A thread begins without one, so jobs
+# in two threads never delete each other's files.
+_scope: ContextVar[list[str] | None] = ContextVar("likeness_staged", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,8 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     folder = f"{shared_folder(spark)}/likeness-{uuid.uuid4().hex}"
-    if _open_scopes:
-        _open_scopes[-1].append(folder)
+    folders = _scope.get()
+    if folders is not None:
+        folders.append(folder)
     return f"{folder}/{name}"
 
 
@@ -47,21 +56,65 @@ def staging(spark: SparkSession) -> Iterator[None]:
     For jobs that have written their results by then: frames that still read
     staged files cannot be used afterwards.
     """
-    _open_scopes.append([])
+    folders: list[str] = []
+    token = _scope.set(folders)
     try:
         yield
     finally:
-        for folder in _open_scopes.pop():
+        _scope.reset(token)
+        for folder in folders:
             delete(spark, folder)
 
 
+def leased(job: Callable) -> Callable:
+    """Make a job's staged files live as long as the frame it returns.
+
+    The first argument of ``job`` is the session, frames may follow. All frames
+    inside, and all that are derived from the result later, hold one copy of
+    the session object; when the last of them is gone, a thread deletes what
+    was staged. A frame that only joins with the result does not hold it.
+    """
+
+    @functools.wraps(job)
+    def run(spark: SparkSession, *args, **options):
+        lease = copy.copy(spark)
+        folders: list[str] = []
+        token = _scope.set(folders)
+        try:
+            result = job(lease, *(_held_by(lease, a) for a in args), **options)
+        finally:
+            _scope.reset(token)
+            # Not at exit: the JVM may have gone by then.
+            weakref.finalize(lease, _delete_later, spark, folders).atexit = False
+        return result
+
+    return run
+
+
+def _held_by(lease: SparkSession, value):
+    return ClassicFrame(value._jdf, lease) if isinstance(value, ClassicFrame) else value
+
+
+def _delete_later(spark: SparkSession, folders: list[str]) -> None:
+    """A collector may call this amid a call to the JVM, so another thread deletes."""
+
+    def work():
+        for folder in folders:
+            with suppress(Exception):  # the session may have ended
+                delete(spark, folder)
+
+    if folders:
+        threading.Thread(target=work, daemon=True).start()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet and return a scan of it.
 
     Cuts the lineage, so that a lost executor repeats reads and not the work
     above them, and gives later steps column pruning and exact row counts.
-    Outside a ``staging`` block the files stay until the folder's own retention
-    takes them: the returned frame reads them lazily.
+    The returned frame reads the files lazily: they stay until the end of the
+    ``staging`` block or the ``leased`` job around, or else until the folder's
+    own retention takes them.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -25,7 +25,7 @@ def literal(text: str) -> str:
 
 
 def statement(ctes: list[str], select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
 
 
 # -- sentences ---------------------------------------------------------------
@@ -191,6 +191,47 @@ CLUSTERS = """SELECT src AS node, (count(DISTINCT dst) + 1)::BIGINT AS size, 0 A
 FROM edges GROUP BY src"""
 
 
+REACH = [
+    """reach AS (
+  SELECT src AS node, dst AS other FROM edges
+  UNION SELECT node, dst FROM reach JOIN edges ON other = src)"""
+]
+COMPONENTS = "SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node"
+
+
+def verified(p: MinHashParams, threshold: float) -> str:
+    return statement(
+        members(p)
+        + [
+            """pairs AS (
+  SELECT DISTINCT hub[1] AS hub_doc, hub[2] AS hub_ord, doc_id, ord FROM members WHERE hub <> (doc_id, ord))""",
+            f"""sets AS (
+  SELECT doc_id, ord, list_distinct(list_transform(range(1, n + 1),
+      lambda i: substr(sentence, i, {p.shingle_len}))) AS s FROM candidates)""",
+            """counted AS (
+  SELECT hub_doc || ':' || hub_ord AS src, a.doc_id || ':' || a.ord AS dst,
+         len(list_intersect(a.s, b.s))::INTEGER AS shared, (len(a.s) + len(b.s))::INTEGER AS summed
+  FROM pairs JOIN sets a ON a.doc_id = pairs.doc_id AND a.ord = pairs.ord
+  JOIN sets b ON b.doc_id = hub_doc AND b.ord = hub_ord)""",
+        ],
+        "SELECT src, dst, shared, summed - shared AS total, shared::DOUBLE / (summed - shared) AS jaccard "
+        f"FROM counted WHERE shared::DOUBLE / (summed - shared) >= {threshold}",
+    )
+
+
+FAULTY_LINES = r"""WITH lines AS (
+  SELECT string_split(doc_id || ', ' || regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g'), ',') AS fields
+  FROM documents
+), kinds AS (
+  SELECT CASE WHEN len(fields) < 66 THEN 'fewer than 64 values'
+      WHEN len(list_filter(fields[1:2], lambda x: try_cast(x AS DECIMAL(38,10)) IS NULL)) > 0 THEN 'an id is not a number'
+      ELSE 'a value is not a number' END AS reason FROM lines
+  UNION ALL SELECT 'none' FROM embeddings
+)
+SELECT reason, count(*) AS n, (SELECT count(*) FROM embeddings) AS n_rows, (SELECT count(*) FROM documents) AS n_rejected
+FROM kinds GROUP BY reason"""
+
+
 # -- random projection -------------------------------------------------------
 
 
