@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from likeness.llm import pii
 
 PLAIN = {
@@ -66,3 +68,69 @@ def test_overlapping_spans_and_empty_table(spark):
     row = pii.redact(pii.find(df)).first()
     assert row.text.startswith("é [") and row.text.endswith("] x") and "1111" not in row.text
     assert pii.digests(pii.find(df.limit(0))).count() == 0
+
+
+def plain_grow(known, pairs, rounds):
+    seeds = {}
+    for instance, kind in known:
+        seeds[instance] = min(kind, seeds.get(instance, kind))
+    scored = {i: (k, 1.0) for i, k in seeds.items()}
+    for _ in range(rounds):
+        patterns = {}
+        for p in {p for p, _ in pairs}:
+            instances = [i for q, i in pairs if q == p]
+            weight, n = {}, len(instances)
+            for i in instances:
+                if i in scored:
+                    kind, score = scored[i]
+                    weight[kind] = weight.get(kind, 0.0) + score
+            share = sum(weight.values()) / n
+            low = (share + 1 / (2 * n) - (share * (1 - share) / n + 1 / (4 * n * n)) ** 0.5) / (1 + 1 / n)
+            if low >= pii.MIN_CONFIDENCE - 1e-12:
+                patterns[p] = (low, min(weight, key=lambda k: (-weight[k], k)))
+        found = {}
+        for i in {i for _, i in pairs}:
+            own = [patterns[p] for p, j in pairs if j == i and p in patterns]
+            miss = 1.0
+            for low, _ in own:
+                miss *= 1 - min(low, 0.999)
+            if own and 1 - miss >= pii.MIN_SCORE - 1e-12 and i not in seeds:
+                found[i] = (min((-low, kind) for low, kind in own)[1], 1 - miss)
+        scored = {i: (k, 1.0) for i, k in seeds.items()} | found
+    return {i: (k, round(s, 9)) for i, (k, s) in scored.items()}
+
+
+def test_growth_against_brute_force(spark):
+    rnd = random.Random(31)
+    pairs = {(f"p{rnd.randrange(25)}", f"i{int(rnd.random() ** 2 * 60)}") for _ in range(220)}
+    pairs |= {(f"q{j}", f"i{i}") for j in range(3) for i in range(j, 9)} | {("q0", "new"), ("q1", "new"), ("r", "new"), ("r", "far"), ("r", "i2")}
+    known = [(f"i{i}", rnd.choice(["email", "ip", "secret"])) for i in range(12)] + [("i1", "card"), ("gone", "ip")]
+    got = pii.grow(
+        spark.createDataFrame(known, "instance string, kind string"), spark.createDataFrame(sorted(pairs), "pattern string, instance string")
+    )
+    found = {r.instance: (r.kind, round(r.score, 9)) for r in got.collect()}
+    expected = plain_grow(known, sorted(pairs), pii.ROUNDS)
+    assert found == expected and len(found) > len({i for i, _ in known})
+
+
+def test_words_before_a_place_are_those_of_the_text(spark):
+    text = "On 2024-05-01 write\t to  user1@a.example.org, 10.0.0.1 or 4711-abc99 x" + "y" * 200 + " Z9Z9Z9Z9"
+    row = (
+        spark.createDataFrame([(text,)], "t string")
+        .select(pii.located(F.col("t"), pii.CANDIDATE).alias("c"), pii.located(F.col("t"), pii.KINDS["ip"]).alias("i"))
+        .first()
+    )
+    left = {p.value: p.left for p in row.c}
+    assert left["10.0.0.1"] == row.i[0].left == "to user1@a.example.org, "
+    assert left["user1@a.example.org"] == "write to " and left["4711-abc99"] == "10.0.0.1 or "
+    assert left["Z9Z9Z9Z9"] == "4711-abc99 x" + "y" * 200 + " " and left["2024-05-01"] == "On "
+
+
+def test_keys_by_form_and_by_their_neighbourhood(spark):
+    rnd = random.Random(32)
+    key = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    rows = [(i, f'so token = "{key(40)}" it is') for i in range(12)]
+    rows += [(50, 'so token = "short-key-77" it is'), (51, f"digest {key(39)} alone"), (52, f"TOKEN {key(64).upper()}"), (53, "ip 300.1.1.1 4111111111111112")]
+    found = {r.doc_id: r.spans for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(found[i] == "secret:12:52" for i in range(12))
+    assert found[50] == "secret:12:24" and found[51] == "" and found[52] == "secret:6:70" and found[53] == ""
