@@ -40,10 +40,10 @@ def remove_repeats(
     common prefixes sampled at run ends, and streams the texts through it.
     """
     rows = cells.numbered(docs, doc_id, text)
-    marks = cells.repeated(
+    marks, n_bytes = cells.repeated(
         rows, "bytes", window, gram, index_batches, False, group_cells, task_bytes
     )
-    return cells.cut_out(rows, marks, "bytes")
+    return cells.cut_out(rows, marks, n_bytes, "bytes", window)
 
 
 def digests(cut: DataFrame) -> DataFrame:

@@ -56,11 +56,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def raw_text(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+
+
 class Bytes:
     """The bytes of a text in UTF-8."""
 
-    def __init__(self, text: str | None):
-        self.line = (text or "").encode("utf-8", "surrogatepass")
+    def __init__(self, text: str | bytes | None):
+        self.line = raw_text(text)
         self.n = len(self.line)
 
     def hashes(self) -> np.ndarray:
@@ -73,8 +77,8 @@ class Bytes:
 class Words:
     """What lies between ASCII white space."""
 
-    def __init__(self, text: str | None):
-        self.words = (text or "").encode("utf-8", "surrogatepass").split()
+    def __init__(self, text: str | bytes | None):
+        self.words = raw_text(text).split()
         self.line = b" ".join(self.words)
         self.n = len(self.words)
         lengths = np.fromiter(map(len, self.words), np.int64, self.n)
@@ -89,6 +93,12 @@ class Words:
 
 
 UNITS = {"bytes": Bytes, "words": Words}
+UNIT_BYTES = {"bytes": 1, "words": 6}
+
+
+def expected_cells(unit: str, n_bytes: int, window: int, gram: int) -> int:
+    """About how many cells so many bytes give: one for half the places an anchor may have."""
+    return 2 * n_bytes // UNIT_BYTES[unit] // (window - gram + 2)
 
 
 def cut(hashes: np.ndarray, text_of: np.ndarray, window: int, gram: int):
@@ -125,6 +135,8 @@ CELLS = pa.schema(
         ("anchor", pa.int64()),
         ("body", pa.int64()),
         ("row", pa.int64()),
+        ("piece", pa.int32()),
+        ("alone", pa.bool_()),
         ("first", pa.int32()),
         ("count", pa.int32()),
     ]
@@ -132,8 +144,8 @@ CELLS = pa.schema(
 
 
 def cell_batches(batches, unit: str, window: int, gram: int, anchors_only: bool = False):
-    """Cells of ``(row, text)``: anchor, digest of the cell's units, place; or just anchors."""
-    held: list[tuple[int, int, object, np.ndarray]] = []
+    """Cells of ``(row, piece, alone, text)``: anchor, digest of the cell's units, place; or just anchors."""
+    held: list[tuple[tuple, int, object, np.ndarray]] = []
     size = 0
 
     def run():
@@ -146,7 +158,7 @@ def cell_batches(batches, unit: str, window: int, gram: int, anchors_only: bool
         which = text_of[first]
         inner = first - offsets[which]
         base = np.array([b for _, b, _, _ in held])[which] if len(first) else first
-        rows = np.array([r for r, *_ in held])[which] if len(first) else first
+        rows, pieces, alone = (np.array(x)[which] for x in zip(*(p for p, *_ in held)))
         begin = inner + base
         digest = xxhash.xxh3_64_intdigest
         bodies = [
@@ -158,14 +170,16 @@ def cell_batches(batches, unit: str, window: int, gram: int, anchors_only: bool
                 pa.array(found.view(np.int64)),
                 pa.array(np.array(bodies, np.uint64).view(np.int64)),
                 pa.array(rows, pa.int64()),
-                pa.array(begin.astype(np.int32)),
+                pa.array(pieces, pa.int32()),
+                pa.array(alone, pa.bool_()),
+                pa.array((pieces + begin).astype(np.int32)),
                 pa.array(count.astype(np.int32)),
             ],
             schema=CELLS,
         )
 
     for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for *place, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
             units = UNITS[unit](text.as_py())
             if units.n < window:
                 continue
@@ -174,7 +188,7 @@ def cell_batches(batches, unit: str, window: int, gram: int, anchors_only: bool
             # that each window is in one of them.
             for base in range(0, units.n - window + 1, PASS_UNITS):
                 piece = hashes[base : base + PASS_UNITS + window - 1]
-                held.append((row, base, units, piece))
+                held.append((place, base, units, piece))
                 size += len(piece)
                 if size >= PASS_UNITS // 2:
                     yield run()
@@ -185,46 +199,27 @@ def cell_batches(batches, unit: str, window: int, gram: int, anchors_only: bool
 
 # Bodies handed on at a time.
 BODY_ROWS = 4_000
-BODIES = pa.schema([*CELLS, ("alone", pa.bool_()), ("text", pa.binary())])
+BODIES = pa.schema([f for f in CELLS if f.name != "body"]).append(pa.field("text", pa.binary()))
 
 
 def body_batches(batches, unit: str, window: int):
-    """Bodies of wanted cells: ``(row, text, wanted)`` to one row for each."""
+    """Bodies of wanted cells: ``(row, piece, text, wanted)`` to one row for each."""
     rows: list[dict] = []
     for batch in batches:
-        for row, text, wanted in zip(*(batch.column(i) for i in range(3))):
+        for row, piece, text, wanted in zip(*(batch.column(i) for i in range(4))):
             units = UNITS[unit](text.as_py())
+            place = {"row": row.as_py(), "piece": piece.as_py()}
             for cell in wanted.as_py():
-                end = cell["first"] + cell["count"] + window - 1
-                rows.append(cell | {"row": row.as_py(), "text": units.body(cell["first"], end)})
+                begin = cell["first"] - place["piece"]
+                rows.append(cell | place | {"text": units.body(begin, begin + cell["count"] + window - 1)})
                 if len(rows) == BODY_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, BODIES)
                     rows = []
     yield pa.RecordBatch.from_pylist(rows, BODIES)
 
 
-WINDOWS = pa.schema([("window", pa.binary()), ("row", pa.int64()), ("at", pa.int32()), ("alone", pa.bool_())])
-
-
-def window_batches(batches, unit: str, window: int):
-    """A digest for each window of bodies, for cells too many to index together."""
-    digest = xxhash.xxh3_128_digest
-    for batch in batches:
-        for row, first, count, alone, text in zip(*(batch.column(n).to_pylist() for n in ("row", "first", "count", "alone", "text"))):
-            raw = text if unit == "bytes" else text.split(b" ")
-            join = bytes if unit == "bytes" else b" ".join
-            found = [digest(join(raw[i : i + window])) for i in range(count)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found, pa.binary()),
-                    pa.array(np.full(count, row), pa.int64()),
-                    pa.array(np.arange(first, first + count, dtype=np.int32)),
-                    pa.array([alone] * count),
-                ],
-                schema=WINDOWS,
-            )
-
-
+# A mark up to here goes to the end of its text, if that has a window.
+END = -1
 MARKS = pa.schema([("row", pa.int64()), ("from", pa.int64()), ("to", pa.int64())])
 
 
@@ -271,7 +266,10 @@ def spans_of(long_starts: np.ndarray, cells, pieces: Pieces, window: int):
     )
 
 
-def merged(spans: list[dict] | None) -> list[list[int]]:
+def merged(spans: list[dict] | None, n: int, window: int) -> list[list[int]]:
+    """Spans in order, those that meet as one."""
+    if any(s["to"] == END for s in spans or []):
+        return [[0, n]] if n >= window else []
     out: list[list[int]] = []
     for a, b in sorted((s["from"], s["to"]) for s in spans or []):
         if out and a <= out[-1][1]:
@@ -285,12 +283,12 @@ SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 CUT = pa.struct([("n", pa.int64()), ("spans", SPANS), ("kept", pa.binary())])
 
 
-def cut_batch(texts: pa.Array, marks: pa.Array, unit: str) -> pa.Array:
+def cut_batch(texts: pa.Array, marks: pa.Array, unit: str, window: int) -> pa.Array:
     """Number of units, merged marks, and what stays of each text."""
     rows = []
     for text, found in zip(texts, marks):
         units = UNITS[unit](text.as_py())
-        spans = merged(found.as_py())
+        spans = merged(found.as_py(), units.n, window)
         kept, at = [], 0
         source = units.line if unit == "bytes" else units.words
         for a, b in spans:

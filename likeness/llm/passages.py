@@ -41,8 +41,8 @@ def remove_repeats(
     statistic against all that came before it.
     """
     rows = cells.numbered(docs, doc_id, text)
-    marks = cells.repeated(rows, "words", window, gram, index_batches, True, group_cells, shard_words)
-    return cells.cut_out(rows, marks, "words")
+    marks, n_bytes = cells.repeated(rows, "words", window, gram, index_batches, True, group_cells, shard_words)
+    return cells.cut_out(rows, marks, n_bytes, "words", window)
 
 
 def digests(cut: DataFrame) -> DataFrame:
