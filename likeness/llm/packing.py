@@ -74,7 +74,8 @@ def place(pieces: DataFrame, size: int = SIZE, plan_rows: int = PLAN_ROWS) -> Da
     to the tasks in slices of ``plan_rows``. No rows give none.
     """
     order = [c for c, t in pieces.drop("length").dtypes if not t.startswith(("map", "binary"))]
-    rows = stage(ranked(pieces, ["length"], order, "_rank"), "pieces")
+    # Written first, for a range sort reads its input twice.
+    rows = stage(ranked(stage(pieces, "cut"), ["length"], order, "_rank"), "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     parts = kernel.slices(kernel.plan(histogram, size), plan_rows)
     placed = [_placed(rows if len(parts) == 1 else _of_lengths(rows, part), part) for part in parts]

@@ -7,19 +7,24 @@ from __future__ import annotations
 
 import heapq
 import os
+import struct
 import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
+from likeness.llm.bpe_kernel import byte_alphabet
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ID = "<u4"
 ID_BYTES = 4
-# Stretches without white space that a task remembers, some 150 bytes each.
-HELD_RUNS = 200_000
-# Longer stretches are encoded each time.
+# Stretches without white space that a worker remembers from the latest texts
+# and, once more, from those before: some 200 bytes each.
+HELD_RUNS = 500_000
+# Longer stretches are forgotten at once.
 HELD_BYTES = 64
 # Bytes of a long text that are split into stretches at a time.
 SEGMENT = 4 << 20
@@ -27,12 +32,27 @@ SEGMENT = 4 << 20
 BATCH_PIECES = 1_000
 BATCH_BYTES = 8 << 20
 
+# What a word may be cut from: ASCII symbols, but for those that begin a
+# contraction or a special token.
+SYMBOLS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "'<")
+LAST_LATIN = "\u0250"
+
+
+def plain_word(run: bytes) -> bool:
+    """Lower-case letters only, of the Latin blocks: one word that nothing is to be done to."""
+    if run.isalpha():
+        return run.islower()
+    text = run.decode("utf-8", "replace")
+    return text.isalpha() and max(text) < LAST_LATIN and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
 
 class Runs(dict):
     """The ids of stretches of text between ASCII white space.
 
-    A tokenizer of the kind used here drops white space and matches nothing
-    across it, so a text has the ids of its stretches.
+    A tokenizer of the kind used here drops white space, matches nothing across
+    it, folds case, never joins a letter or digit with the symbols around it,
+    and takes a run of letters as one word. So a text has the ids of its stretches,
+    and a plain word those of the merges alone.
     """
 
     def __init__(self, source: str):
@@ -42,17 +62,36 @@ class Runs(dict):
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.shown = str.maketrans({chr(byte): shown for shown, byte in byte_alphabet().items()})
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, run: bytes) -> bytes:
-        found = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False)
-        ids = np.array(found.ids, ID).tobytes()
+        ids = self.old.get(run)
+        if ids is None:
+            word = run.strip(SYMBOLS)
+            if len(word) < len(run) and (word.isalnum() or plain_word(word)):
+                at = run.index(word)
+                parts = (run[:at], word, run[at + len(word) :])
+                return self._held(run, b"".join(self[part] for part in parts if part))
+            if plain_word(run):
+                found = [token.id for token in self.model.tokenize(run.decode("latin-1").translate(self.shown))]
+            else:
+                found = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        return self._held(run, ids)
+
+    def _held(self, run: bytes, ids: bytes) -> bytes:
         if len(run) <= HELD_BYTES:
             if len(self) >= HELD_RUNS:
+                self.old = dict(self)
                 self.clear()
             self[run] = ids
         return ids
 
     def ids(self, raw: bytes) -> bytes:
+        if b"<" not in raw:  # special tokens are told by their case
+            raw = raw.lower()
         return b"".join(b"".join(map(self.__getitem__, part.split())) for part in segments(raw))
 
 

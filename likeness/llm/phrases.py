@@ -94,16 +94,15 @@ def _merging(bits, prefix, more):
 def _counted(chunks, words, known, longest, bits, parts_bits, split_bits, min_count) -> DataFrame:
     """``(ids, a)`` of the frequent phrases."""
     spark = chunks.sparkSession
-    numbers = words.select("shard", "lang", "word", "number").join(known, ["lang", "word"]).select("shard", "number", "id")
+    table = small(known.select("lang", "word", "id"), known.count())
+    numbers = words.select("shard", "lang", "word", "number").join(table, ["lang", "word"]).select("shard", "number", "id")
     coded = chunks.filter("codes IS NOT NULL").select(F.col("shard").alias("chunk"), "lead", "codes")
     done = min(split_bits, parts_bits)
 
     def count(chunk, known_numbers):
         return kernel.count_shard(chunk, known_numbers, longest, bits, done)
 
-    filters = stage(
-        coded.groupBy("chunk").cogroup(numbers.groupBy("shard")).applyInArrow(count, _FILTERS), "filters"
-    )
+    filters = coded.groupBy("chunk").cogroup(numbers.groupBy("shard")).applyInArrow(count, _FILTERS)
     while done < parts_bits:
         # Too many parts to go to at once: chunks in bundles, each as large as
         # a last part, and a thousand parts further at a time.

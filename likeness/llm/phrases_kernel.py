@@ -87,7 +87,7 @@ def chunk_batches(batches, longest: int, size: int = CHUNK_BYTES):
             schema=CHUNKS,
         )
         yield pa.RecordBatch.from_pylist(
-            [{"shard": number, "lang": lang, "lead": lead, "codes": codes.astype("<i4").tobytes()}], CHUNKS
+            [{"shard": number, "lang": lang, "lead": lead, "codes": packed_codes(codes)}], CHUNKS
         )
         number += 1
 
@@ -118,6 +118,23 @@ def chunk_batches(batches, longest: int, size: int = CHUNK_BYTES):
         yield from flush(lang)
 
 
+# Numbers of a chunk in two bytes; this one stands for a larger, kept behind them.
+_MANY = 0xFFFF
+
+
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Numbers from 0; the first words of a chunk, and so most of its text, have small ones."""
+    large = codes[codes >= _MANY].astype("<u4")
+    return np.minimum(codes, _MANY).astype("<u2").tobytes() + large.tobytes() + np.array([len(codes)], "<u8").tobytes()
+
+
+def unpacked_codes(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, "<u8", 1, len(raw) - 8)[0])
+    codes = np.frombuffer(raw, "<u2", n).astype(np.int64)
+    codes[codes == _MANY] = np.frombuffer(raw, "<u4", (len(raw) - 8 - 2 * n) // 4, 2 * n)
+    return codes
+
+
 FILTERS = pa.schema(
     [("words", pa.int32()), ("head", pa.int64()), ("shard", pa.int64()), ("filter", pa.binary())]
 )
@@ -138,7 +155,7 @@ def count_shard(chunk: pa.Table, numbers: pa.Table, longest: int, bits: int, pre
     known = np.zeros(int(max([0, *numbers.column("number").to_pylist()])) + 1, np.int64)
     known[numbers.column("number").to_numpy()] = numbers.column("id").to_numpy()
     for shard, lead, raw in zip(*(chunk.column(c).to_pylist() for c in ("chunk", "lead", "codes"))):
-        codes = np.frombuffer(raw, "<i4")
+        codes = unpacked_codes(raw)
         ids = np.where(codes < len(known), known[np.minimum(codes, len(known) - 1)], 0)
         whole = ids > 0
         for words in range(2, longest + 1):

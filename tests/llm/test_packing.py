@@ -129,3 +129,18 @@ def test_segments(monkeypatch):
     raw = b"some words and " + b"x" * 100 + b" more\nlines\n here " + b"y" * 40
     parts = list(kernel.segments(raw))
     assert b"".join(parts) == raw and [w for p in parts for w in p.split()] == raw.split()
+
+
+def test_stretches_have_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(kernel, "SEGMENT", 300)
+    monkeypatch.setattr(kernel, "HELD_RUNS", 20)
+    monkeypatch.setattr(kernel, "HELD_BYTES", 8)
+    rng = np.random.default_rng(17)
+    parts = ["Word", "word.", "(word)", "\"Word\"]", "[1984].", "x=", "=\u0338", "WORD,,", "it's", "IT'S!", "'s", "n't", "x", ".", "...", "a.b.", "3.", "½.", "É.", "e", "́", "日本.", "<|endoftext|>",
+             "<|ENDOFTEXT|>.", "ΣΑΣ.", "İ.", "ß!", "\x85", "　", " ", " ", " ", "\n", "\t", "🙂", "#$%", "ǅ,", "‍", "ﬁ."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.integers(0, 60))) for _ in range(400)] + ["", " "]
+    runs = kernel.Runs(library().to_str())
+    tokenizer = library()
+    for text in texts:
+        ids = runs.ids(text.encode())
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)

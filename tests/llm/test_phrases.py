@@ -113,3 +113,8 @@ def test_segments_keep_words():
     parts = list(kernel.segments(raw, 64))
     assert b"".join(parts) == raw
     assert [t for p in parts for t in kernel.tokens(p)] == kernel.tokens(raw)
+
+
+def test_numbers_of_a_chunk():
+    for codes in ([], [0], [65_534, 65_535, 70_000, 1, 65_535, 2**31]):
+        assert kernel.unpacked_codes(kernel.packed_codes(np.array(codes, np.int64))).tolist() == codes
