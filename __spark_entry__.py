@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracle_sql as sql
+from likeness.functions.sql import register
 from likeness.functions.text import clean_tokens
 from likeness.operators import minhash as mh
 from likeness.operators.buckets import bucket_sizes
@@ -218,6 +219,25 @@ def q_sentence_signatures(spark, sf_dir):
     )
 
 
+# -- SQL ---------------------------------------------------------------------
+
+
+def in_sql(spark, sf_dir, statement):
+    """A statement over ``documents`` with the library's SQL functions."""
+    register(spark, MINHASH)
+    return spark.sql(statement, documents=documents(spark, sf_dir))
+
+
+SENTENCES_IN_SQL = "SELECT doc_id, s.ord, s.sentence FROM {documents}, LATERAL document_sentences(text) s"
+TOKENS_IN_SQL = f"SELECT doc_id, ord, array_join(clean_token_list(sentence), ' ') AS tokens FROM ({SENTENCES_IN_SQL})"
+MINHASH_IN_SQL = f"""
+SELECT doc_id, ord, t.fn, t.value
+FROM (SELECT doc_id, ord, prime_minhash(sentence) AS mh FROM ({SENTENCES_IN_SQL})
+      WHERE length(sentence) - {MINHASH.shingle_len - 1} > {MINHASH.min_shingles}
+        AND length(sentence) - {MINHASH.shingle_len - 1} < {MINHASH.max_shingles}),
+LATERAL (SELECT pos AS fn, col AS value FROM posexplode(mh)) t"""
+
+
 # -- text formats ------------------------------------------------------------
 
 
@@ -374,6 +394,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "projection_file_job": q_projection_file_job,
         "pair_cluster_file_job": q_pair_cluster_file_job,
         "sentence_vector_file_job": q_sentence_vector_file_job,
+        "sentences_sql": partial(in_sql, statement=SENTENCES_IN_SQL),
+        "clean_tokens_sql": partial(in_sql, statement=TOKENS_IN_SQL),
+        "minhash_vectors_sql": partial(in_sql, statement=MINHASH_IN_SQL),
         "bucket_components": q_bucket_components,
         "rp_components": q_rp_components,
         "verified_pairs": q_verified_pairs,
@@ -400,8 +423,13 @@ def oracle_sql() -> dict[str, str]:
     )
     verified = sql.verified(p, 0.8)
     file_pairs = sql.pairs(EMBEDDINGS, sql.bits(EMBEDDINGS, sql.WRITTEN_EMBEDDINGS))
+    sentence_rows = sql.statement(sql.SENTENCES, "SELECT doc_id, ord, sentence FROM sentences")
+    token_rows = sql.statement(sql.tokens(), "SELECT doc_id, ord, array_to_string(tokens, ' ') AS tokens FROM tokens")
     return {
-        "sentences": sql.statement(sql.SENTENCES, "SELECT doc_id, ord, sentence FROM sentences"),
+        "sentences": sentence_rows,
+        "sentences_sql": sentence_rows,
+        "clean_tokens_sql": token_rows,
+        "minhash_vectors_sql": sql.prime_values(p),
         "sentence_candidates": sql.statement(
             sql.candidates(p), "SELECT doc_id, ord, sentence FROM candidates"
         ),
@@ -432,9 +460,7 @@ def oracle_sql() -> dict[str, str]:
         "rp_neighbours": sql.statement(embedding_pairs, sql.PAIRS),
         "rp_neighbours_cells": sql.statement(embedding_pairs, sql.PAIRS),
         "rp_clusters": sql.statement(embedding_pairs + sql.PAIR_EDGES, sql.CLUSTERS),
-        "clean_tokens": sql.statement(
-            sql.tokens(), "SELECT doc_id, ord, array_to_string(tokens, ' ') AS tokens FROM tokens"
-        ),
+        "clean_tokens": token_rows,
         "sentence_vectors": vectors,
         "sentence_vectors_large": vectors,
         "sentence_signatures": sql.statement(
