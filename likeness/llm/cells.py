@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from likeness.llm import cells_kernel as kernel
 from likeness.llm.ranks import ranked
-from likeness.llm.sizes import BROADCAST_ROWS, small
+from likeness.llm.sizes import BROADCAST_ROWS, matched, small
 from likeness.plans.staging import shuffle_partitions, shuffle_tasks, stage
 
 _CELLS = "anchor bigint, body bigint, row bigint, piece int, alone boolean, first int, count int"
@@ -27,8 +27,6 @@ END = kernel.END
 # Rows of cells and bytes of text that one task of a shuffle takes.
 TASK_CELLS = 5_000_000
 TASK_BYTES = 128 << 20
-# Fewer rows of a key than this are never parted from the others.
-HOT_ROWS = 1_000
 
 
 def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -186,19 +184,6 @@ def _level(
     return marks, stage(texts.select("row", F.col("first").alias("piece"), "alone", "text"), "crowded")
 
 
-def matched(rows: DataFrame, table: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
-    """Join with ``table``, which has each key once and the number ``n`` of its rows.
-
-    A key of more than half of what a task would get does not go through the
-    shuffle; there are few of those, so they are broadcast, whatever the size.
-    """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limit = max(HOT_ROWS, n_rows // (2 * tasks))
-    hot = F.broadcast(stage(table.filter(F.col("n") > limit), "hot"))
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.filter(F.col("n") <= limit), keys)
-    return rows.join(hot, keys).unionByName(rest)
-
-
 def _bodies(pieces: DataFrame, wanted: DataFrame, unit: str, window: int) -> DataFrame:
     """Fetch the texts of cells; all of a piece's at once."""
     lists = stage(

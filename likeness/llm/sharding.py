@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.llm.ranks import ranked
+from likeness.llm.sizes import matched
 from likeness.plans.staging import stage
 
 SHARDS = 16
@@ -165,7 +166,8 @@ def propagate(
         first = first + F.when(F.col("place") >= edge, 1).otherwise(0)
     real = links.filter("node IS NOT NULL AND hub IS NOT NULL").distinct()
     shared = stage(real.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1"), "hubs")
-    kept = stage(real.join(shared.select("hub"), "hub"), "hub_links")
+    n_links = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = stage(matched(real, shared, ["hub"], n_links).select(*real.columns), "hub_links")
     large = [r.hub for r in shared.filter(F.col("n") * shards * PARTS_BY_SHARD > kept.count()).collect()]
     linked = kept.select("node").distinct().withColumn("linked", F.lit(True))
     state = stage(

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from likeness.llm import simhash_kernel as kernel
 from likeness.llm.graph import components
-from likeness.llm.sizes import small
-from likeness.plans.staging import stage
+from likeness.llm.sizes import matched, small
+from likeness.plans.staging import shuffle_tasks, stage
 
 BITS = kernel.BITS
 SHINGLE = 3
@@ -58,6 +58,8 @@ def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
 
 def correlation(n: int, both: np.ndarray) -> np.ndarray:
     """Absolute correlation of bits over all prints; constant bits have none."""
+    if (both.diagonal() > n).any():
+        raise ValueError("a bit cannot be set in more prints than there are")
     share = both.diagonal() / max(n, 1)
     spread = np.sqrt(share * (1 - share))
     scale = np.outer(spread, spread)
@@ -170,8 +172,9 @@ def close_prints(
     link = partial(kernel.link_batches, allowed=allowed, distance=distance)
     some = not large.isEmpty()
     usual = rows.join(large, ["part", "key"], "left_anti") if some else rows
+    probes = sum(math.comb(len(bits), f) for bits, t in parts for f in range(t + 1))
     found = (
-        usual.repartition("part", "key")
+        usual.repartition(shuffle_tasks(prints.sparkSession, prints.count() * probes), "part", "key")
         .sortWithinPartitions("part", "key")
         .mapInArrow(link, "src bigint, dst bigint")
     )
@@ -187,23 +190,23 @@ def close_prints(
 
 
 def classes(prints: DataFrame, distance: int = DISTANCE, group_prints: int = GROUP_PRINTS) -> DataFrame:
-    """``(print, root, component_id)`` for each distinct print of ``prints(print, doc_id)``.
+    """``(print, root, component_id, n)`` for each distinct print of ``prints(print, doc_id)``.
 
-    ``root`` is the least print of the component and names it, ``component_id``
+    ``n`` is the number of its rows, ``root`` is the least print of the component and names it, ``component_id``
     its least id. Equal fingerprints are one node, so copies cost nothing
     beyond their count.
     """
     nodes = stage(
-        prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct_prints"
+        prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct_prints"
     )
     n, both = bit_counts(nodes.select("print"))
     links = close_prints(nodes.select("print"), plan(n, both, distance), distance, group_prints)
     roots = components(links)
     member = nodes.join(roots, nodes["print"] == roots["node"], "left").select(
-        "print", "least", F.coalesce("root", "print").alias("root")
+        "print", "least", "n", F.coalesce("root", "print").alias("root")
     )
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return member.join(least, "root").select("print", "root", "component_id")
+    return member.join(least, "root").select("print", "root", "component_id", "n")
 
 
 def near_duplicates(
@@ -224,16 +227,16 @@ def near_duplicates(
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = stage(fingerprints(own).select("doc_id", "print"), "prints")
-    return marked.join(classes(marked, distance, group_prints), "print").select(
-        "doc_id", "print", "root", "component_id"
-    )
+    found = stage(classes(marked, distance, group_prints), "classes")
+    return matched(marked, found, ["print"], marked.count()).select("doc_id", "print", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of the smallest id of every component, with the columns of ``docs``.
 
-    Where ids repeat or are null, one of the component's rows that share its
-    smallest id, whichever comes first.
+    Where ids repeat or are null, several rows may share a component's smallest
+    id: then the one of least fingerprint, of least digest of its text, and of
+    least hash of its other columns stays.
     """
     found = stage(near_duplicates(docs, doc_id, text), "near_duplicates")
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "print", "root")
@@ -243,9 +246,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     if n == n_ids == n_roots and found.count() == found.select("doc_id").distinct().count():
         keys = stays.select(F.col("doc_id").alias(doc_id))
         return docs.join(small(keys, n), doc_id, "left_semi").select(*docs.columns)
-    one = stays.dropDuplicates(["root"]).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
+    one = stays.groupBy("root", F.col("doc_id").alias("_id")).agg(F.min("print").alias("_print")).drop("root")
     marked = fingerprints(docs, text, into="_same")
     kept = marked.join(
         one, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_print")), "left_semi"
     )
-    return kept.dropDuplicates([doc_id, "_same"]).select(*docs.columns)
+    others = [c for c, kind in docs.dtypes if "map<" not in kind]
+    order = F.struct(F.sha2(F.col(text).cast("string"), 256), F.xxhash64(*others))
+    first = F.min_by(F.struct(*docs.columns), order).alias("_row")
+    return kept.groupBy(doc_id, "_same").agg(first).select("_row.*")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from likeness.llm import warc_kernel as kernel
+from likeness.llm.sizes import matched
 from likeness.plans.staging import fresh_path, stage
 
 # Compressed bytes at which a file is closed.
-ROLL_BYTES = 256 << 20
-# Payload bytes meant for one task.
-TASK_BYTES = 32 << 20
+ROLL_BYTES = 8 << 20
+# Payload bytes meant for one task, several files' worth.
+TASK_BYTES = 256 << 20
 # Equal payloads of at least so many bytes are written once.
 REVISIT_BYTES = 100
 DATE = "2000-01-01T00:00:00Z"
@@ -43,13 +44,15 @@ def page_rows(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
         payload.alias("html"),
     )
     large = rows.filter(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "payload_digest")
-    first = (
+    first = stage(
         large.groupBy("payload_digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .filter("n > 1 AND first IS NOT NULL")
+        .filter("n > 1 AND first IS NOT NULL"),
+        "copied_payloads",
     )
+    n_copied = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     notes = (
-        large.join(first, "payload_digest")
+        matched(large, first, ["payload_digest"], n_copied)
         .filter("page_id IS NULL OR page_id <> first")
         .select(
             "page_id",

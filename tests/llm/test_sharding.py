@@ -1,4 +1,7 @@
+import random
+import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -81,3 +84,37 @@ def test_groups_gather_without_unlinked_rows(spark):
             assert sum(sum(c.values()) - max(c.values()) for c in whole) < 0.1 * len(texts)
         if texts is mixed:
             assert len(homes["hot"]) <= 8
+
+
+def test_flows_are_the_largest_circulations():
+    """Against all circulations of three shards."""
+    rng = np.random.default_rng(8)
+    ways = [(s, t) for s in range(3) for t in range(3) if s != t]
+    for _ in range(25):
+        wishes = rng.integers(0, 3, (3, 3))
+        np.fill_diagonal(wishes, 0)
+        best = 0
+        for found in product(*(range(wishes[w] + 1) for w in ways)):
+            moves = np.zeros((3, 3), int)
+            for way, n in zip(ways, found):
+                moves[way] = n
+            if (moves.sum(axis=0) == moves.sum(axis=1)).all():
+                best = max(best, moves.sum())
+        moves, net = sharding.flows(wishes, np.zeros(3, np.int64))
+        assert moves.sum() == best and not net.any()
+
+
+def test_digests_against_a_plain_version(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("aé日🙂 \n") for _ in range(rnd.randrange(30))) for _ in range(120)]
+    rows = list(enumerate(texts + texts[:40] + [None, None, "", "x" * 50_000]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard_documents(df, shards=7).collect()
+    raw = {i: (t or "").encode() for i, t in rows}
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == [(i, len(raw[i]) + 1, zlib.crc32(raw[i])) for i, _ in rows]
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    n = len(rows)
+    assert sorted(spread(got).values()) == sorted(n // 7 + (s < n % 7) for s in range(7))
+    for shard in range(7):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))

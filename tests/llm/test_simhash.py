@@ -2,6 +2,7 @@ import random
 from itertools import product
 
 import numpy as np
+import pytest
 import xxhash
 
 from likeness.llm import simhash
@@ -70,11 +71,36 @@ def test_thresholds_keep_the_promise():
     rnd = np.random.default_rng(5)
     for n in (10, 10**6, 10**10):
         bits = (rnd.random((200, 64)) < 0.4).astype(np.int64)
-        plan = simhash.plan(n, bits.T @ bits * (n // 200 or 1))
+        plan = simhash.plan(n, bits[:n].T @ bits[:n] * (n // 200 or 1))
         assert sorted(b for part, _ in plan for b in part) == list(range(64))
         assert sum(t for _, t in plan) == 3 - len(plan) + 1
 
 
+def test_counts_have_to_fit():
+    with pytest.raises(ValueError):
+        simhash.plan(10, np.full((64, 64), 11))
+
+
+def test_one_row_stays_whatever_the_order(spark):
+    base = [f"w{i}" for i in range(300)]
+    near = " ".join([*base[:150], "other", *base[151:]])
+    rows = [(1, " ".join(base), "b"), (1, near, "a"), (1, " ".join(base), "a"), (None, "alone here", "x"), (None, "alone here", "y"), (2, near, "c")]
+    assert simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("root").distinct().count() == 2
+    found = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        for tasks in (1, 4):
+            df = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(tasks)
+            found.add(tuple(sorted(map(str, simhash.one_of_each(df).collect()))))
+    assert len(found) == 1 and len(found.pop()) == 2
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"v{i % 977}" for i in range(400_000))
+    df = spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")
+    prints = {r.doc_id: r.print for r in simhash.near_duplicates(df).collect()}
+    assert prints[1] % (1 << 64) == plain_print(text) and prints[2] % (1 << 64) == plain_print(text + " end")
+
+
 def test_edges(spark):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(5, text, 1), (3, text, 1), (3, text, 1), (None, text, 1), (7, None, 1), (6, "", 1), (9, "other words here", 1)]
