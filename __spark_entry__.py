@@ -27,6 +27,7 @@ from likeness.plans.minhash import BucketJob, clusters, minhash_vectors
 from likeness.plans.projection import projection_neighbours, projection_signatures
 from likeness.plans.reading import set_aside
 from likeness.plans.staging import fresh_path, leased, spread, stage
+from likeness.plans.store import SignatureStore
 from likeness.plans.vectors import projection_input, sentence_vectors
 from likeness.plans.verification import verified_pairs
 from likeness.sources import text as files
@@ -155,6 +156,15 @@ def q_bucket_components(spark, sf_dir):
     return connected_components(BucketJob(documents(spark, sf_dir), MINHASH).edges())
 
 
+def q_minhash_buckets_in_batches(spark, sf_dir, **limits):
+    """Buckets over two batches, English texts and all others, the first of them laid out for good."""
+    store = SignatureStore(spark, fresh_path(spark, "signatures"), MINHASH, slices=8)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("lang").eqNullSafe("en").alias("english"))
+    store.add("english", docs.filter("english").select("doc_id", "text"))
+    store.add("others", docs.filter("NOT english").select("doc_id", "text"))
+    return with_signature_text(store.members(**limits)).select("draw", "sig", "doc_id", "ord", "bucket_size")
+
+
 def q_verified_pairs(spark, sf_dir, **limits):
     return verified_pairs(BucketJob(documents(spark, sf_dir), MINHASH), **limits)
 
@@ -397,6 +407,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sentences_sql": partial(in_sql, statement=SENTENCES_IN_SQL),
         "clean_tokens_sql": partial(in_sql, statement=TOKENS_IN_SQL),
         "minhash_vectors_sql": partial(in_sql, statement=MINHASH_IN_SQL),
+        "minhash_buckets_in_batches": q_minhash_buckets_in_batches,
+        "minhash_buckets_in_batches_hot": partial(q_minhash_buckets_in_batches, group_rows=HOT_ROWS),
         "bucket_components": q_bucket_components,
         "rp_components": q_rp_components,
         "verified_pairs": q_verified_pairs,
@@ -422,6 +434,7 @@ def oracle_sql() -> dict[str, str]:
         sql.sentence_vectors(WORD_DIMS), f"SELECT doc_id, ord, {sql.MICROS} AS vec, n_words FROM sentence_vectors"
     )
     verified = sql.verified(p, 0.8)
+    batches = sql.statement(sql.members(p), "SELECT draw, sig, doc_id, ord, bucket_size FROM members")
     file_pairs = sql.pairs(EMBEDDINGS, sql.bits(EMBEDDINGS, sql.WRITTEN_EMBEDDINGS))
     sentence_rows = sql.statement(sql.SENTENCES, "SELECT doc_id, ord, sentence FROM sentences")
     token_rows = sql.statement(sql.tokens(), "SELECT doc_id, ord, array_to_string(tokens, ' ') AS tokens FROM tokens")
@@ -500,6 +513,8 @@ def oracle_sql() -> dict[str, str]:
             embedding_pairs,
             "SELECT dist, id_a::VARCHAR AS id_a, id_b::VARCHAR AS id_b FROM pairs",
         ),
+        "minhash_buckets_in_batches": batches,
+        "minhash_buckets_in_batches_hot": batches,
         "bucket_components": sql.statement(sql.edges(p) + sql.REACH, sql.COMPONENTS),
         "rp_components": sql.statement(embedding_pairs + sql.PAIR_EDGES + sql.REACH, sql.COMPONENTS),
         "verified_pairs": verified,

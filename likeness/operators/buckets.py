@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likeness.operators.skew import few, route, split_hot
+from likeness.operators.skew import few, routed, split_hot
 from likeness.plans.staging import stage
 
 KEYS = ["draw", "sig"]
@@ -18,8 +18,7 @@ def shared_rows(signature_rows: DataFrame, shared: DataFrame) -> DataFrame:
     buckets and, by a clash of hashes, hardly any other; the wide rows of
     buckets of one are not shuffled if the list is small.
     """
-    routed = signature_rows.withColumn("route", route(*KEYS))
-    return routed.join(few(shared), "route", "left_semi").drop("route")
+    return routed(signature_rows, KEYS).join(few(shared), "route", "left_semi").drop("route")
 
 
 def bucket_members(
@@ -35,7 +34,7 @@ def bucket_members(
     combine, and the counts (about one row per hot key) go back by a join.
     """
     if hot is None:
-        return _by_window(signature_rows.withColumn("route", route(*KEYS)), tasks)
+        return _by_window(routed(signature_rows, KEYS), tasks)
     hot_rows, other_rows = split_hot(signature_rows, KEYS, hot)
     sizes = (
         hot_rows.groupBy(*KEYS)

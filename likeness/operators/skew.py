@@ -22,13 +22,18 @@ def route(*keys: str | Column) -> Column:
     return F.xxhash64(*keys)
 
 
+def routed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with their ``route``; one that they have stays, and with it how they are laid out."""
+    return rows if "route" in rows.columns else rows.withColumn("route", route(*keys))
+
+
 def route_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``(route, n)``: how many rows each routing hash has.
 
     A plain grouping: tasks add up before they shuffle one narrow row for each
     key, and no task sees more than its share of the keys.
     """
-    return rows.groupBy(route(*keys).alias("route")).agg(F.count("*").alias("n"))
+    return routed(rows, keys).groupBy("route").agg(F.count("*").alias("n"))
 
 
 def hot_routes(counts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame | None:
@@ -53,9 +58,9 @@ def split_hot(
 
     ``hot`` comes from hot_routes.
     """
-    routed = rows.withColumn("route", route(*keys))
+    own = routed(rows, keys)
     table = few(hot)
-    return routed.join(table, "route", "left_semi"), routed.join(table, "route", "left_anti")
+    return own.join(table, "route", "left_semi"), own.join(table, "route", "left_anti")
 
 
 def lookup_join(
