@@ -28,6 +28,7 @@ from likeness.plans.projection import projection_neighbours, projection_signatur
 from likeness.plans.reading import set_aside
 from likeness.plans.staging import fresh_path, leased, spread, stage
 from likeness.plans.store import SignatureStore
+from likeness.plans.training import train_word_vectors
 from likeness.plans.vectors import projection_input, sentence_vectors
 from likeness.plans.verification import verified_pairs
 from likeness.sources import text as files
@@ -206,6 +207,12 @@ def word_means(spark, sf_dir, **limits):
     return sentence_vectors(rows, stage(word_table(rows), "words"), WORD_DIMS, **limits)
 
 
+def q_trained_sentence_vectors(spark, sf_dir):
+    """Mean vectors by a word table trained on the sentences of all documents."""
+    rows = all_sentences(spark, sf_dir)
+    return sentence_vectors(rows, train_word_vectors(rows, WORD_DIMS), WORD_DIMS)
+
+
 def micros(vec):
     """Values in millionths, as text: independent of how floats are printed."""
     whole = F.transform(vec, lambda x: F.round(x * 1000000).cast("bigint").cast("string"))
@@ -409,6 +416,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "minhash_vectors_sql": partial(in_sql, statement=MINHASH_IN_SQL),
         "minhash_buckets_in_batches": q_minhash_buckets_in_batches,
         "minhash_buckets_in_batches_hot": partial(q_minhash_buckets_in_batches, group_rows=HOT_ROWS),
+        "trained_sentence_vectors": q_trained_sentence_vectors,
         "bucket_components": q_bucket_components,
         "rp_components": q_rp_components,
         "verified_pairs": q_verified_pairs,

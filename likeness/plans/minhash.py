@@ -13,7 +13,10 @@ from likeness.operators.minhash import signatures, with_minhash
 from likeness.operators.sentences import candidates
 from likeness.operators.skew import GROUP_ROWS, hot_routes, route_counts
 from likeness.params import MinHashParams
-from likeness.plans.staging import shuffle_tasks, stage
+from likeness.plans.staging import shuffle_partitions, shuffle_tasks, stage
+
+# Sentences that one task of a shuffle takes.
+TASK_SENTENCES = 1_000_000
 
 
 def minhash_vectors(
@@ -52,7 +55,9 @@ class BucketJob:
     def shared(self) -> DataFrame:
         """``(route, n)`` of the signatures that more than one row may have."""
         counts = route_counts(self.signatures(), B.KEYS)
-        return stage(counts.filter("n > 1"), "shared_routes")
+        spark = self.vectors.sparkSession
+        with shuffle_partitions(spark, shuffle_tasks(spark, self.vectors.count() * self.params.draws)):
+            return stage(counts.filter("n > 1"), "shared_routes")
 
     def members(self) -> DataFrame:
         """``(draw, sig, doc_id, ord, row, bucket_size, hub_doc, hub_ord, hub_row)`` of shared buckets."""
@@ -63,7 +68,11 @@ class BucketJob:
 
     def member_sentences(self) -> DataFrame:
         """The members with their text."""
-        return B.attach_sentences(self.members(), self.vectors)
+        spark = self.vectors.sparkSession
+        tasks = shuffle_tasks(spark, self.vectors.count(), TASK_SENTENCES)
+        usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        texts = self.vectors.repartition(tasks, "row") if tasks > usual else self.vectors
+        return B.attach_sentences(self.members(), texts)
 
     def edges(self) -> DataFrame:
         return C.star_edges(self.members())
