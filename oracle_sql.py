@@ -353,16 +353,19 @@ def sentence_vectors(dims: int) -> list[str]:
     sums = ", ".join(f"avg(v{i}) AS v{i}" for i in range(dims))
     means = ", ".join(f"coalesce(v{i}, 0.0::DOUBLE)" for i in range(dims))
     return tokens() + [
-        "token_rows AS (SELECT doc_id, ord, unnest(tokens) AS word FROM tokens)",
+        """texts AS MATERIALIZED (
+  SELECT tokens, list({'doc_id': doc_id, 'ord': ord}) AS places, row_number() OVER () AS text
+  FROM tokens GROUP BY tokens)""",
+        "token_rows AS (SELECT text, unnest(tokens) AS word FROM texts)",
         f"""vocabulary AS (
   SELECT word, {values}
   FROM (SELECT DISTINCT word, ('0x' || substr(md5(word), 1, 8))::BIGINT AS base
         FROM token_rows WHERE substr(md5(word), 1, 1) <> 'f'))""",
-        f"""means AS (
-  SELECT doc_id, ord, {sums}, count(*) AS n FROM token_rows JOIN vocabulary USING (word) GROUP BY doc_id, ord)""",
+        f"means AS (SELECT text, {sums}, count(*) AS n FROM token_rows JOIN vocabulary USING (word) GROUP BY text)",
         f"""sentence_vectors AS (
-  SELECT s.doc_id, s.ord, [{means}] AS vec, coalesce(n, 0)::BIGINT AS n_words
-  FROM sentences s LEFT JOIN means m ON s.doc_id = m.doc_id AND s.ord = m.ord)""",
+  SELECT p.doc_id AS doc_id, p.ord AS ord, vec, n_words
+  FROM (SELECT unnest(places) AS p, [{means}] AS vec, coalesce(n, 0)::BIGINT AS n_words
+        FROM texts LEFT JOIN means USING (text)))""",
     ]
 
 
