@@ -36,7 +36,7 @@ def verified_pairs(
     if not 0 < threshold <= 1:
         raise ValueError("a threshold is above 0, and 1 at most")
     spark = job.vectors.sparkSession
-    pairs = stage(job.members().filter("row <> hub_row").select("hub_row", "row").distinct(), "hub_pairs")
+    pairs = stage(job.places().filter("row <> hub_row").select("hub_row", "row").distinct(), "hub_pairs")
     n = pairs.count()
     with shuffle_partitions(spark, shuffle_tasks(spark, n)):
         either = pairs.select("row").unionAll(pairs.select(F.col("hub_row").alias("row"))).distinct()

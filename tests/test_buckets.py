@@ -5,9 +5,11 @@ from helpers import plan_text, rows
 from pyspark.sql import functions as F
 
 from likeness.operators import buckets as B
+from likeness.operators import skew
 from likeness.operators.minhash import signatures, with_minhash
 from likeness.operators.skew import hot_routes, route, route_counts
 from likeness.params import MinHashParams
+from likeness.plans import minhash
 from likeness.plans.minhash import BucketJob, clusters
 
 SIGS = "draw int, sig array<bigint>, doc_id bigint, ord int"
@@ -163,3 +165,27 @@ def test_signature_equality_needs_all_values(spark):
     found = B.bucket_members(signatures(with_minhash(df, params), params))
     assert rows(found.select("doc_id").distinct()) == {(1,): 1, (2,): 1}
     assert found.filter(F.col("bucket_size") != 2).count() == 0
+
+
+def test_no_shuffle_of_buckets_carries_signatures(documents):
+    """Two longs stand for a signature until members have been found."""
+    for group_rows in (1_000_000, 20):
+        plan = plan_text(BucketJob(documents, group_rows=group_rows).places())
+        assert "mark" in plan and "mh#" not in plan.split("== Physical Plan ==")[1].split("Exchange")[0]
+
+
+def test_many_hot_routes_are_cut_to_what_is_broadcast(spark, monkeypatch):
+    counts = spark.createDataFrame([(r, r) for r in range(1, 101)], "route bigint, n bigint")
+    assert hot_routes(counts, 10).count() == 90
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 50)
+    # 10, then 40, then 160: no route is left that is worth a broadcast.
+    assert hot_routes(counts, 10) is None
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 60)
+    assert rows(hot_routes(counts, 10)) == {(r,): 1 for r in range(41, 101)}
+
+
+def test_more_shared_routes_than_are_broadcast(documents, monkeypatch):
+    expected = as_set(BucketJob(documents).members())
+    monkeypatch.setattr(minhash, "BROADCAST_KEYS", 3)
+    job = BucketJob(documents)
+    assert "LeftSemi" not in plan_text(job.places()) and as_set(job.members()) == expected

@@ -1,11 +1,12 @@
 import hashlib
 import random
+import re
 import subprocess
 import sys
 
 import numpy as np
 import pyarrow as pa
-from helpers import rows
+from helpers import plan_text, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark import cloudpickle
@@ -143,3 +144,16 @@ def test_udf_code_needs_no_package_on_executors(tmp_path):
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert run.returncode == 0, run.stderr
     assert str(batch(family, ["abcdef"])[0][0]) in run.stdout
+
+
+def test_argmin_shingles_are_cut_out_before_the_explode(spark):
+    df = spark.createDataFrame([(1, 0, "abcdefghijklmnop")], "doc_id bigint, ord int, sentence string")
+    copied = re.findall(r"Generate posexplode.*\), \[([^\]]*)\], false", plan_text(argmin_shingles(df, MinHashParams())))
+    assert copied and all("sentence" not in columns for columns in copied)
+
+
+def test_argmin_in_gaps_and_ties():
+    """No window over the end of a text counts, and the first of equal hashes does."""
+    a, b = np.ones((3, 1), np.uint64), np.zeros(3, np.uint64)
+    found = kernels.argmin_batch(pa.array(["cba", None, "aab", "", "zzz", "b"]), 1, a, b, 63).to_pylist()
+    assert found == [[3] * 3, None, [1] * 3, None, [1] * 3, [1] * 3]
