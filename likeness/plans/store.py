@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import suppress
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,23 +14,27 @@ from likeness.operators.minhash import signatures
 from likeness.operators.skew import GROUP_ROWS, hot_routes, route_counts, routed
 from likeness.params import MinHashParams
 from likeness.plans.minhash import minhash_vectors
-from likeness.plans.staging import stage
+from likeness.plans.staging import stage, staging
 
 SLICES = 200
+# Signatures of the first batch that a slice may hold.
+SLICE_ROWS = 1_000_000
 _COLUMNS = "draw INT, sig ARRAY<BIGINT>, doc_id {id}, ord INT, route BIGINT"
 
 
 class SignatureStore:
     """Signatures of batches of documents in ``folder``.
 
-    Each batch is written once, cut into ``slices`` files by the routing hash of
-    its signatures and sorted in them, and committed by its success file: a
-    batch that is sent again, or whose first writing failed, does no harm. All
+    Each batch is written once, cut into slices by the routing hash of its
+    signatures and sorted in them, and committed by its success file: a batch
+    that is sent again, or whose first writing failed, does no harm. All
     batches have the same cut, so that buckets over all of them are found slice
     by slice: only the new batch has been shuffled, at its writing.
 
-    ``doc_id`` is of one type in all batches, and unique over them; parameters
-    and ``slices`` are those of the first batch.
+    The first batch settles the cut, for good: ``slices``, or more if one of
+    them would hold over ``slice_rows`` of its signatures. A file beside the
+    batches keeps the number. ``doc_id`` is of one type in all batches, and
+    unique over them; the parameters are those of the first batch.
     """
 
     def __init__(
@@ -38,7 +44,9 @@ class SignatureStore:
         params: MinHashParams = MinHashParams(),
         slices: int = SLICES,
         id_type: str = "BIGINT",
+        slice_rows: int = SLICE_ROWS,
     ):
+        self.slice_rows = slice_rows
         self.spark, self.folder, self.params, self.slices = spark, folder.rstrip("/"), params, slices
         self.columns = _COLUMNS.format(id=id_type)
         self.id_type = id_type
@@ -48,22 +56,47 @@ class SignatureStore:
         """Write the signatures of ``documents``; False if the batch is there already."""
         if batch in self.batches():
             return False
-        rows = signatures(minhash_vectors(documents, self.params), self.params).select(
-            "draw", "sig", F.col("doc_id").cast(self.id_type), "ord"
-        )
         table = f"likeness_{uuid.uuid4().hex}"
-        (
-            routed(rows, B.KEYS)
-            .repartition(self.slices, "route")
-            .write.bucketBy(self.slices, "route")
-            .sortBy("route")
-            .mode("overwrite")
-            .option("path", f"{self.folder}/{batch}")
-            .saveAsTable(table)
-        )
+        with staging(self.spark):
+            # Written first, to be counted before it is cut.
+            vectors = stage(minhash_vectors(documents, self.params).drop("sentence"), "minhash")
+            rows = signatures(vectors, self.params).select("draw", "sig", F.col("doc_id").cast(self.id_type), "ord")
+            slices = self.cut(vectors.count() * self.params.draws)
+            (
+                routed(rows, B.KEYS)
+                .repartition(slices, "route")
+                .write.bucketBy(slices, "route")
+                .sortBy("route")
+                .mode("overwrite")
+                .option("path", f"{self.folder}/{batch}")
+                .saveAsTable(table)
+            )
         self.spark.sql(f"DROP TABLE {table}")  # the files stay
         return True
 
+    def cut(self, rows: int | None = None) -> int:
+        """Number of slices of all batches; with ``rows`` of a first one it is settled, if it is not yet.
+
+        The file is made by its first writer alone, so of two first batches at
+        once one goes by the other's number. A folder with batches and without
+        the file is cut by ``slices``.
+        """
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_slices")
+        system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            if rows is None:
+                return self.slices
+            wanted = self.slices if self.batches() else max(self.slices, -(-rows // self.slice_rows))
+            with suppress(Py4JJavaError):  # another writer was first
+                made = system.create(path, False)
+                made.writeInt(wanted)
+                made.close()
+        held = system.open(path)
+        try:
+            return held.readInt()
+        finally:
+            held.close()
+
     def batches(self) -> list[str]:
         """Names of the batches that are complete."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -84,7 +117,7 @@ class SignatureStore:
         self.tables.append(table)
         self.spark.sql(
             f"CREATE TABLE {table} ({self.columns}, batch STRING) USING parquet PARTITIONED BY (batch) "
-            f"CLUSTERED BY (route) SORTED BY (route) INTO {self.slices} BUCKETS LOCATION '{self.folder}'"
+            f"CLUSTERED BY (route) SORTED BY (route) INTO {self.cut()} BUCKETS LOCATION '{self.folder}'"
         )
         for batch in self.batches():
             self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (batch='{batch}') LOCATION '{self.folder}/{batch}'")

@@ -49,3 +49,19 @@ def test_a_broken_batch_does_not_count(documents, store, tmp_path):
 def test_empty_store(store, documents):
     assert store.batches() == [] and store.members().collect() == []
     assert store.add("none", documents.limit(0)) and store.members().collect() == []
+
+
+def test_a_large_first_batch_takes_more_slices(spark, documents, tmp_path):
+    params = MinHashParams(draws=4)
+    made = SignatureStore(spark, str(tmp_path / "s"), params, slices=2, slice_rows=500)
+    assert made.cut() == 2
+    made.add("old", documents.filter("doc_id < 120"))
+    first = spark.read.parquet(f"{made.folder}/old").count()
+    assert first > 1000 and made.cut() == -(-first // 500)
+    made.add("new", documents.filter("doc_id >= 120"))
+    later = SignatureStore(spark, made.folder, params, slices=2)
+    assert later.cut() == made.cut() and later.batches() == ["new", "old"]
+    plan = plan_text(later.members()).split("== Physical")[-1]
+    assert "Exchange" not in plan and f"SelectedBucketsCount: {made.cut()} out of {made.cut()}" in plan
+    assert hashable(later.members()) == hashable(BucketJob(documents, params).members())
+    later.close()
