@@ -3,6 +3,7 @@ import random
 import re
 import subprocess
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,26 @@ def test_prime_family(spark):
     assert found[1] is None
 
 
+def test_prime_family_on_tables(spark):
+    """Compiled plans, and on any number of windows the values of the plain integers; equal rows stay two."""
+    params = MinHashParams(num_hashes=3, shingle_len=4)
+    family = PrimeFamily(params)
+    texts = [None, "", "abc", *("".join(random.Random(n).choices("ab é😀", k=n)) for n in (*range(4, 13), 66, 67, 68, 131, 132, 200))]
+    data = [(None if i % 5 == 4 else i // 2, 0, t) for i, t in enumerate(texts)] + [(1, 0, texts[-1])] * 2
+    found = with_minhash(spark.createDataFrame(data, SCHEMA), params, "prime")
+    assert found.columns == ["doc_id", "ord", "sentence", "mh"]
+    plan = plan_text(found)
+    assert "lambda" not in plan and "Python" not in plan and "Arrow" not in plan
+
+    def minima(text):
+        windows = [text[i : i + 4] for i in range(len(text or "") - 3)]
+        bases = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % PRIME for w in windows]
+        return str([min((x * a + b) % PRIME for x in bases) for a, b in zip(family.a, family.b)]) if bases else None
+
+    as_text = found.withColumn("mh", signature_text(F.col("mh")))
+    assert rows(as_text) == Counter((*row, minima(row[2])) for row in data)
+
+
 def test_values_single_function_and_argmin_agree(spark, documents):
     from likeness.operators.sentences import candidates
 
