@@ -1,14 +1,15 @@
 """The column functions under names that SQL can use.
 
 They are SQL functions, so Catalyst inlines their bodies: no Python worker, and
-plans as those of the DataFrame steps.
+plans as those of the DataFrame steps. ``prime_minhash`` is a subquery, which
+may stand wherever a correlated one may, as in SELECT and WHERE.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from likeness.functions.hashing import PRIME, PrimeFamily
+from likeness.functions.hashing import BLOCK, PART, PrimeFamily
 from likeness.functions.text import SENTENCE_PATTERN, SPLIT_WORDS, STOP_WORDS, URL_PATTERN, USER_PATTERN
 from likeness.params import MinHashParams
 
@@ -17,10 +18,6 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _list(values) -> str:
-    return f"array({', '.join(map(str, values))})"
-
-
 def _shingles(k: str | int) -> str:
     return (
         f"CASE WHEN length(sentence) >= {k} THEN transform(sequence(1, greatest(length(sentence) - {k} + 1, 1)), "
@@ -36,8 +33,10 @@ def definitions(params: MinHashParams = MinHashParams()) -> dict[str, str]:
     cleaned = f"lower(regexp_replace({masked}, '[^a-zA-Z]+', ' '))"
     words = f"split(regexp_replace({cleaned}, {_literal(rf'\b({heads})')}, '$1 '), ' +')"
     stop = ", ".join(map(_literal, STOP_WORDS))
-    base = f"CAST(conv(substr(md5(s), 1, 8), 16, 10) AS BIGINT) % {PRIME}L"
-    functions = f"transform({_list(f'{a}L' for a in family.a)}, (a, i) -> struct(a, {_list(f'{b}L' for b in family.b)}[i] AS b))"
+    parts = f"SELECT {family.cut('sentence', 'i', PART)} AS part FROM explode({family.starts('sentence', PART)}) AS p(i)"
+    blocks = f"SELECT {family.cut('part', 'j', BLOCK)} AS block FROM ({parts}) LATERAL VIEW explode({family.starts('part', BLOCK)}) b AS j"
+    names = [f"base{i}" for i in range(BLOCK)]
+    bases = ", ".join(f"{x} AS {name}" for x, name in zip(family.bases("block"), names))
     sentences = f"regexp_extract_all(body, {_literal(SENTENCE_PATTERN)}, 0)"
     return {
         # Sentences of a text, as a table for a lateral join and as a list.
@@ -47,11 +46,11 @@ def definitions(params: MinHashParams = MinHashParams()) -> dict[str, str]:
         "shingle_list(sentence STRING, k INT) RETURNS ARRAY<STRING>": _shingles("k"),
         # Words of a text without links, users, symbols and stop words.
         "clean_token_list(body STRING) RETURNS ARRAY<STRING>": f"filter({words}, t -> t <> '' AND t NOT IN ({stop}))",
-        # One minimum for each function of the prime family.
+        # One minimum for each function of the prime family. The subquery becomes
+        # a grouping by different sentences, which is compiled, and a join.
         "prime_minhash(sentence STRING) RETURNS ARRAY<BIGINT>": (
             f"CASE WHEN length(sentence) >= {params.shingle_len} THEN "
-            f"transform(array(transform({_shingles(params.shingle_len)}, s -> {base})), "
-            f"bases -> transform({functions}, f -> array_min(transform(bases, x -> (x * f.a + f.b) % {PRIME}L))))[0] END"
+            f"(SELECT {family.minima(names)} FROM (SELECT {bases} FROM ({blocks}))) END"
         ),
         # Mean of vectors of one length, null without any.
         "vector_mean(vectors ARRAY<ARRAY<DOUBLE>>) RETURNS ARRAY<DOUBLE>": (

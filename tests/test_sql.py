@@ -41,3 +41,17 @@ def test_vector_mean(spark):
         "vector_mean(CAST(array() AS ARRAY<ARRAY<DOUBLE>>)) AS none"
     ).first()
     assert (found.two, found.one, found.none) == ([2.0, 3.5], [7.0], None)
+
+
+def test_prime_minhash_is_compiled(spark):
+    """No interpreted lambda; every row has its value, equal ones too; and the function may filter."""
+    register(spark)
+    texts = [None, "", "A" * 11, *("Né😀 b"[i % 5] * 9 + "xyz" * i for i in range(1, 60)), "xyz" * 30, "xyz" * 30]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    called = spark.sql("SELECT doc_id, text, prime_minhash(text) AS m FROM {docs}", docs=docs)
+    plan = plan_text(called)
+    assert "lambda" not in plan and "Python" not in plan and "Arrow" not in plan
+    columns = docs.select("doc_id", "text", PrimeFamily(MinHashParams()).minhash(F.col("text")).alias("m"))
+    as_text = lambda df: sorted(map(str, df.collect()))
+    assert as_text(called) == as_text(columns)
+    assert spark.sql("SELECT text FROM {docs} WHERE prime_minhash(text) IS NULL", docs=docs).count() == 3
