@@ -100,3 +100,18 @@ def test_vectors_of_wrong_length():
     with pytest.raises(ValueError):
         kernels.sign_words_batch(pa.array([[1.0] * 63, [1.0] * 65]), planes, 1)
     assert len(kernels.sign_words_batch(pa.array([[1.0] * 64] * 2), planes, 1)) == 2
+
+
+def test_tidy_leaves_no_shuffle_files(spark):
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = kept(), spark.conf.get("spark.sql.parquet.compression.codec")
+    with staging.tidy(spark):
+        assert staging.stage(spark.range(1000).repartition(7), "tidy").count() == 1000
+    for _ in range(100):
+        if kept() <= before:
+            break
+        time.sleep(0.1)
+    assert kept() <= before and spark.conf.get("spark.sql.parquet.compression.codec") == setting
